@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from causeway.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from causeway.llm.line_dedup import OP3_SQL, op3_line_dedup
+from causeway.llm.mixing import OP4_SQL, op4_mix_sources
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_exact_dedup": op2_exact_dedup}
+    return {
+        "op2_exact_dedup": op2_exact_dedup,
+        "op3_line_dedup": op3_line_dedup,
+        "op4_mix_sources": op4_mix_sources,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL}
