@@ -104,7 +104,7 @@ def mix_sql(docs: str, columns: str, only_kept: bool = False) -> str:
     return f"""
 WITH m AS (
   SELECT *, CASE WHEN n_tokens < 100 THEN 'note' WHEN n_tokens < 2000 THEN 'article' ELSE 'book' END AS topic FROM (
-    SELECT *, len(list_filter(string_split_regex(coalesce(text, ''), '[ \\n\\t\\r]+'), x -> x <> ''))::BIGINT AS n_tokens FROM {docs})
+    SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^ \\n\\t\\r]+'))::BIGINT AS n_tokens FROM {docs})
 ), k AS (SELECT *, {classes} FROM m),
 cells AS (
   SELECT k_source AS source, k_lang AS lang, k_topic AS topic, sum(n_tokens)::BIGINT AS tokens FROM k WHERE n_tokens > 0 GROUP BY ALL
