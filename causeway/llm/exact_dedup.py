@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import documents, text_or_empty, without_reserved
+from causeway.llm.common import documents, text_or_empty, without_reserved, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: 2^23 bits are 256 bitmaps of 4 KB: 1 MB whatever the number of documents. A bit that two groups share only costs a hash.
@@ -56,7 +56,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pre
     keyed = keyed.drop("_at", "_bucket", "_bits", "_byte", "_place")
     keys = ["_len", "_prefix", "text_sha256"]
     groups = keyed.where("_shared").groupBy(*keys).agg(F.max(doc_id).alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    groups = groups.select(*(F.col(k).alias(f"{k}_g") for k in keys), F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size"))
+    # Written, so that the join below has an exchange on either side and AQE can split a hot group.
+    groups = written(groups, "exact-groups").select(*(F.col(k).alias(f"{k}_g") for k in keys), F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size"))
     same = (F.col("_len") == F.col("_len_g")) & (F.col("_prefix") == F.col("_prefix_g")) & (F.col("text_sha256") == F.col("text_sha256_g"))
     out = keyed.join(groups, same, "left")
     size = F.coalesce("_size", F.lit(1)).cast("long")
