@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from causeway.llm.byte_bpe import op8_byte_bpe
 from causeway.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from causeway.llm.language_id import op6_language_id
 from causeway.llm.line_dedup import OP3_SQL, op3_line_dedup
 from causeway.llm.mixing import OP4_SQL, op4_mix_sources
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_line_dedup": op3_line_dedup,
         "op4_mix_sources": op4_mix_sources,
+        "op6_language_id": op6_language_id,
         "op8_byte_bpe": op8_byte_bpe,
     }
 
