@@ -11,6 +11,7 @@ from causeway.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from causeway.llm.language_id import op6_language_id
 from causeway.llm.line_dedup import OP3_SQL, op3_line_dedup
 from causeway.llm.mixing import OP4_SQL, op4_mix_sources
+from causeway.llm.pii import op10_pii
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mix_sources": op4_mix_sources,
         "op6_language_id": op6_language_id,
         "op8_byte_bpe": op8_byte_bpe,
+        "op10_pii": op10_pii,
     }
 
 
