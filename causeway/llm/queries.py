@@ -11,11 +11,13 @@ from causeway.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from causeway.llm.language_id import op6_language_id
 from causeway.llm.line_dedup import OP3_SQL, op3_line_dedup
 from causeway.llm.mixing import OP4_SQL, op4_mix_sources
+from causeway.llm.near_dedup import op1_minhash_near_dedup
 from causeway.llm.pii import op10_pii
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_line_dedup": op3_line_dedup,
         "op4_mix_sources": op4_mix_sources,
