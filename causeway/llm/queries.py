@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from causeway.llm.byte_bpe import op8_byte_bpe
+from causeway.llm.embedding_dedup import op7_embedding_near_dedup
 from causeway.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from causeway.llm.language_id import op6_language_id
 from causeway.llm.line_dedup import OP3_SQL, op3_line_dedup
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": op3_line_dedup,
         "op4_mix_sources": op4_mix_sources,
         "op6_language_id": op6_language_id,
+        "op7_embedding_near_dedup": op7_embedding_near_dedup,
         "op8_byte_bpe": op8_byte_bpe,
         "op10_pii": op10_pii,
     }
