@@ -14,6 +14,7 @@ from causeway.llm.line_dedup import OP3_SQL, op3_line_dedup
 from causeway.llm.mixing import OP4_SQL, op4_mix_sources
 from causeway.llm.near_dedup import op1_minhash_near_dedup
 from causeway.llm.pii import op10_pii
+from causeway.llm.suffix_dedup import op5_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_line_dedup": op3_line_dedup,
         "op4_mix_sources": op4_mix_sources,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_language_id": op6_language_id,
         "op7_embedding_near_dedup": op7_embedding_near_dedup,
         "op8_byte_bpe": op8_byte_bpe,
