@@ -13,6 +13,7 @@ from causeway.llm.language_id import op6_language_id
 from causeway.llm.line_dedup import OP3_SQL, op3_line_dedup
 from causeway.llm.mixing import OP4_SQL, op4_mix_sources
 from causeway.llm.near_dedup import op1_minhash_near_dedup
+from causeway.llm.passage_dedup import op9_substring_dedup
 from causeway.llm.pii import op10_pii
 from causeway.llm.suffix_dedup import op5_suffix_dedup
 
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_id": op6_language_id,
         "op7_embedding_near_dedup": op7_embedding_near_dedup,
         "op8_byte_bpe": op8_byte_bpe,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_pii": op10_pii,
     }
 

@@ -44,12 +44,13 @@ def _power(second: bool, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RangeHash:
-    """Hashes of any stretches [a, b) of some bytes, equal for equal bytes wherever they stand."""
+    """Hashes of any stretches [a, b) of some bytes or 64-bit values, equal for equal stretches wherever they stand."""
 
     def __init__(self, data: np.ndarray, second: bool = False):
         power, self.inverse = _power(second, len(data))
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLES[second][data] * power[: len(data)], out=self.sums[1:])
+        values = _TABLES[second][data] if data.dtype == np.uint8 else data
+        np.cumsum(values * power[: len(data)], out=self.sums[1:])
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix((self.sums[b] - self.sums[a]) * self.inverse[a] + (b - a).astype(np.uint64))
