@@ -9,13 +9,16 @@ weighted Jaccard similarity. Points come in order of x, so a shingle is left as
 beyond the largest value in the signature.
 
 Signatures are cut into bands; documents that share a band are candidates, and the multiset overlap of
-candidates is verified exactly. A bucket is not expanded into pairs: its members are compared with a few
-leaders, components are built, and only members of different components are compared further.
+candidates is verified exactly. A bucket is not expanded into pairs: its members are compared with a
+leader each, and components are built. Where a bucket still holds several components, the members outside
+the main one are compared with all others of the bucket, as blocks of at most CHUNK by CHUNK texts: a
+block is one task that multiplies presence matrices and gives a spanning forest of the links it finds.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +29,9 @@ from causeway.llm.textkit import mix, shingles, words
 
 BANDS, ROWS, SLOTS = 21, 6, 128
 THRESHOLD = 0.8
-#: Candidates of the last round must agree in all but so many of 128 one-bit slots. At similarity 0.8 a slot's bit
-#: differs with probability 0.1: 13 of 128 on average; 30 is five standard deviations above.
-MOST_DIFFERENT = 30
 BYTES = 4 << 20
+#: Texts on one side of a block, and columns of its matrices at a time.
+CHUNK, COLUMNS = 256, 1 << 14
 _G1, _G2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -70,7 +72,7 @@ def signatures(shingle: np.ndarray, count: np.ndarray, text: np.ndarray, n_texts
     return least.reshape(n_texts, slots)
 
 
-SIG_DDL = "_id bigint, _f1 bigint, _f2 bigint, _n bigint, _bands array<bigint>, _b1 bigint, _b2 bigint"
+SIG_DDL = "_id bigint, _f1 bigint, _f2 bigint, _n bigint, _bands array<bigint>"
 
 
 def _sign(batches):
@@ -82,7 +84,6 @@ def _sign(batches):
         bands = np.zeros((len(texts), BANDS), np.uint64)
         for j in range(ROWS):
             bands = bands * np.uint64(0x9DDFEA08EB382D69) + bits[:, j : BANDS * ROWS : ROWS]
-        packed = np.packbits((bits & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
         total = np.bincount(text, count, len(texts)).astype(np.int64)
         prints = []
         for salt in (_G1, _G2):
@@ -91,7 +92,7 @@ def _sign(batches):
             prints.append(f.view(np.int64))
         flat = pa.array(mix(bands).view(np.int64).ravel())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(texts) + 1) * BANDS, BANDS, dtype=np.int32)), flat)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(prints[0]), pa.array(prints[1]), pa.array(total), lists, pa.array(packed[:, 0].copy()), pa.array(packed[:, 1].copy())], names=["_id", "_f1", "_f2", "_n", "_bands", "_b1", "_b2"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(prints[0]), pa.array(prints[1]), pa.array(total), lists], names=["_id", "_f1", "_f2", "_n", "_bands"])
 
 
 def _squeeze(batches):
@@ -126,31 +127,96 @@ def _verify(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["a", "b", "similarity"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the candidate pairs whose multiset overlap reaches the threshold. docs: _id, _text."""
-    pairs = written(pairs, "near-pairs")
-    needed = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
-    z = written(docs.mapInArrow(_squeeze, "_id bigint, _z binary").join(needed, "_id", "left_semi").dropDuplicates(["_id"]), "near-texts")
-    with_b = pairs.join(z.select(F.col("_id").alias("b"), F.col("_z").alias("_zb")), "b")
-    with_both = with_b.join(z.select(F.col("_id").alias("a"), F.col("_z").alias("_za")), "a").sortWithinPartitions("a")
-    return written(with_both.select("a", "b", "_za", "_zb").mapInArrow(_verify, "a bigint, b bigint, similarity double").where(F.col("similarity") >= threshold), "near-links")
-
+def overlaps(bag_of: list[tuple[np.ndarray, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarities of the bags ``a`` with the bags ``b`` (indices), by products of presence matrices.
 
-def _with_component(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    labels = components(links)
-    found = buckets.join(labels.withColumnRenamed("node", "_id"), "_id", "left")
-    return found.withColumn("_c", F.coalesce("component", "_id")).drop("component")
+    The k-th occurrence of a shingle is an element of its own, which makes multiset overlap set overlap.
+    """
+    copies = [np.repeat(x, n) for x, n in bag_of]
+    level = [np.arange(len(c)) - np.repeat(np.cumsum(n) - n, n) for c, (_, n) in zip(copies, bag_of)]
+    element = mix(np.concatenate(copies) ^ (np.concatenate(level).astype(np.uint64) * _G1))
+    sizes = np.array([len(c) for c in copies], np.int64)
+    row = np.repeat(np.arange(len(copies)), sizes)
+    _, column, often = np.unique(element, return_inverse=True, return_counts=True)
+    shared = often > 1  # what one text alone has adds nothing
+    place = np.cumsum(shared) - 1
+    on = shared[column]
+    row, column = row[on], place[column[on]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(a), len(b)), np.float64)
+    for at in range(0, int(shared.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        x = np.zeros((len(copies), COLUMNS), np.float32)
+        x[row[lo:hi], column[lo:hi] - at] = 1
+        both += x[a] @ x[b].T
+    return both / np.maximum(1, sizes[a][:, None] + sizes[b][None, :] - both)
+
+
+def _block(threshold: float):
+    def block(part: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor()
+        part = part.sort_values("_id", kind="stable").reset_index(drop=True)
+        bag_of = [bags([expand.decompress(z).decode("utf-8")])[:2] for z in part["_z"]]
+        side, group = part["_side"].to_numpy(), part["_c"].to_numpy()
+        a, b = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
+        hit = (overlaps(bag_of, a, b) >= threshold) & (group[a][:, None] != group[b][None, :])
+        linked = np.zeros((len(part), len(part)), bool)
+        r, c = np.nonzero(hit)
+        linked[a[r], b[c]] = linked[b[c], a[r]] = True
+        # Members of one component count as linked: one link between two components is enough.
+        ids, first = part["_id"].to_numpy(), forest(linked)
+        on = first != np.arange(len(part))
+        return pd.DataFrame({"a": ids[first[on]], "b": ids[on]})
+
+    return block
+
+
+def forest(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links the first row of its component."""
+    label = np.arange(len(linked))
+    while True:
+        near = np.where(linked, label[None, :], len(label)).min(1) if len(label) else label
+        new = np.minimum(label, near)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
 def _led(buckets: DataFrame) -> DataFrame:
     """Pairs (leader, member). A bucket's leader is the smallest by a hash that differs between three kinds of bands."""
-    rank = F.xxhash64("_id", F.pmod("_band", F.lit(3)))
-    ranked = buckets.select("_band", "_key", "_id", rank.alias("_rank"))
-    first = ranked.groupBy("_band", "_key").agg(F.min("_rank").alias("_least"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
-    members = ranked.join(first, ["_band", "_key"])
-    leaders = members.where("_rank = _least").groupBy("_band", "_key").agg(F.min("_id").alias("a"))
-    pairs = members.select("_band", "_key", F.col("_id").alias("b")).join(leaders, ["_band", "_key"])
-    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ranked = buckets.select("_band", "_key", "_id", F.xxhash64("_id", F.pmod("_band", F.lit(3))).alias("_rank"))
+    first = ranked.groupBy("_band", "_key").agg(F.min(F.struct("_rank", "_id")).alias("_lead")).select(F.col("_band").alias("_bb"), F.col("_key").alias("_kk"), F.col("_lead._id").alias("_l"))
+    pairs = ranked.join(first, (F.col("_band") == F.col("_bb")) & (F.col("_key") == F.col("_kk"))).where("_id <> _l")
+    return pairs.select(F.least("_id", "_l").alias("a"), F.greatest("_id", "_l").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, z: DataFrame, threshold: float) -> DataFrame:
+    with_b = pairs.join(z.select(F.col("_id").alias("b"), F.col("_z").alias("_zb")), "b")
+    with_both = with_b.join(z.select(F.col("_id").alias("a"), F.col("_z").alias("_za")), "a").sortWithinPartitions("a")
+    return with_both.select("a", "b", "_za", "_zb").mapInArrow(_verify, "a bigint, b bigint, similarity double").where(F.col("similarity") >= threshold).select("a", "b")
+
+
+def _blocks(labelled: DataFrame) -> DataFrame:
+    """The members of buckets with several components, once for each block they are in; _side 0 meets 2, and 1 meets its own block.
+
+    The main component is that of the smallest label. Blocks pair chunks of outsiders with chunks of the
+    main component and with each other, so a bucket with few outsiders has few blocks.
+    """
+    key = ["_band", "_key"]
+    main = labelled.groupBy(*key).agg(F.min("_c").alias("_main"), F.max("_c").alias("_other")).where("_main <> _other").drop("_other")
+    split = written(labelled.join(main, key).withColumn("_out", F.col("_c") != F.col("_main")), "near-split")
+    sizes = split.groupBy(*key).agg(*(F.ceil(F.count_if(x) / CHUNK).cast("int").alias(n) for x, n in ((F.col("_out"), "_no"), (~F.col("_out"), "_nm"))))
+    rows = split.join(sizes, key).withColumn("_chunk", F.pmod(F.xxhash64("_id"), F.when(F.col("_out"), F.col("_no")).otherwise(F.col("_nm"))).cast("int"))
+    with_main = F.transform(F.sequence(F.lit(0), F.col("_nm") - 1), lambda j: F.struct(F.lit(0).alias("kind"), F.col("_chunk").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    one = lambda k: F.when(k == F.col("_chunk"), 1).when(k > F.col("_chunk"), 0).otherwise(2)
+    with_out = F.transform(F.sequence(F.lit(0), F.col("_no") - 1), lambda k: F.struct(F.lit(1).alias("kind"), F.least("_chunk", k).alias("i"), F.greatest("_chunk", k).alias("j"), one(k).alias("side")))
+    of_main = F.transform(F.sequence(F.lit(0), F.col("_no") - 1), lambda o: F.struct(F.lit(0).alias("kind"), o.alias("i"), F.col("_chunk").alias("j"), F.lit(2).alias("side")))
+    found = rows.select(*key, "_id", "_c", F.explode(F.when(F.col("_out"), F.concat(with_main, with_out)).otherwise(of_main)).alias("_t"))
+    return found.select(*key, "_id", "_c", F.col("_t.kind").alias("_kind"), F.col("_t.i").alias("_i"), F.col("_t.j").alias("_j"), F.col("_t.side").alias("_side"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -168,30 +234,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     same = written(known.groupBy("_f1", "_f2").agg(F.min("_id").alias("_rep")), "near-classes")
     member = written(known.select("_id", "_f1", "_f2").join(same, ["_f1", "_f2"]).select("_id", "_rep").distinct(), "near-members")
     reps = known.join(member.where("_id = _rep").select("_id").distinct(), "_id", "left_semi").dropDuplicates(["_id"])
-    buckets = reps.select("_id", "_b1", "_b2", F.posexplode("_bands").alias("_band", "_key"))
+    buckets = reps.select("_id", F.posexplode("_bands").alias("_band", "_key"))
     shared = buckets.groupBy("_band", "_key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").drop("_size")
     buckets = written(buckets.join(shared, ["_band", "_key"], "left_semi"), "near-buckets")
+    # The texts of all candidates are moved once. A merge join at every size: a broadcast would do for small tables only.
+    needed = buckets.select("_id").distinct().hint("merge")
+    z = written(docs.where("_id IS NOT NULL").mapInArrow(_squeeze, "_id bigint, _z binary").join(needed, "_id", "left_semi"), "near-texts")
     # A document that shares an id with another class links the classes.
     links = member.where("_id <> _rep").select(F.col("_rep").alias("a"), F.col("_id").alias("b"))
-    near = verified(_led(buckets), docs, threshold).select("a", "b")
-    # Members that are not in the component of their bucket's smallest one get leaders of their own.
-    tested = near
-    for last in (False, True):
-        now = written(_with_component(buckets, near), "near-labelled")
-        main = now.groupBy("_band", "_key").agg(F.min("_c").alias("_main"), F.max("_c").alias("_other")).where("_main <> _other").drop("_other")
-        split = now.join(main, ["_band", "_key"])
-        out = written(split.where("_c <> _main"), "near-outliers")
-        if out.limit(1).count() == 0:
-            break
-        if last:
-            mine, others = out.select("_band", "_key", *(F.col(c).alias(f"{c}_m") for c in ("_id", "_b1", "_b2", "_c"))), split.select("_band", "_key", "_id", "_b1", "_b2", "_c")
-            different = F.bit_count(F.col("_b1").bitwiseXOR(F.col("_b1_m"))) + F.bit_count(F.col("_b2").bitwiseXOR(F.col("_b2_m")))
-            on = (mine._band == others._band) & (mine._key == others._key) & (F.col("_c") != F.col("_c_m")) & (different <= MOST_DIFFERENT)
-            pairs = mine.join(others, on).select(F.least("_id", "_id_m").alias("a"), F.greatest("_id", "_id_m").alias("b")).distinct()
-        else:
-            pairs = _led(out)
-        near = near.unionByName(verified(pairs.join(tested, ["a", "b"], "left_anti"), docs, threshold).select("a", "b"))
-        tested = near
+    near = written(_verified(_led(buckets), z, threshold), "near-links")
+    labels = components(near)
+    labelled = buckets.join(labels.withColumnRenamed("node", "_id"), "_id", "left").withColumn("_c", F.coalesce("component", "_id")).drop("component")
+    blocks = _blocks(written(labelled, "near-labelled")).join(z, "_id")
+    more = blocks.groupBy("_band", "_key", "_kind", "_i", "_j").applyInPandas(_block(threshold), "a bigint, b bigint")
+    near = near.unionByName(written(more, "near-links"))
     labels = components(links.unionByName(near))
     out = signed.select("_id", "_n").join(labels.withColumnRenamed("node", "_id"), "_id", "left")
     return out.select(F.col("_id").alias("doc_id"), F.coalesce("component", "_id").alias("class_id"), F.col("_n").alias("n_shingles"))
