@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.plans import graph_queries, retrieval_queries
+from causeway.plans import catalog_queries, graph_queries, metric_queries, retrieval_queries
 
-MODULES = (graph_queries, retrieval_queries)
+MODULES = (graph_queries, retrieval_queries, catalog_queries, metric_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
