@@ -5,9 +5,11 @@ taken where they can matter: of every string of LENGTH bytes the leftmost smalle
 its anchor, so equal strings have their anchors at the same place and one position in about thirty is an
 anchor. The strings that share an anchor form a block. Round 1 ranks anchors by their SEED bytes, and an
 anchor whose rank is unique is out. Round 2 ranks the survivors by pairs (rank of the seed, rank of the
-whole block, up to LENGTH + 60 bytes): of equal blocks all but the first are repeats as they are. Round 3
-takes what is left, groups with an equal seed but different blocks (the ends of repeated passages), for
-one position of each block, string by string up to the threshold. Spark sorts in every round; ranks are
+whole block, up to LENGTH + 60 bytes): of equal blocks all but the first are repeats as they are. What is
+left is groups with an equal seed but different blocks, the ends of repeated passages, with one position of
+each block. Round 3 ranks them by HALF bytes that begin at the anchor or end with the seed: each string of
+the block holds one of the two, and strings whose half is unique are out. Round 4 ranks the strings that
+are left, at the threshold. Spark sorts in every round; ranks are
 hashes, so no round needs the order of another, and equal pairs of 64-bit hashes count as equal strings.
 
 Before a round's sort each task keeps one position of what is equal within its slice and marks the others,
@@ -26,10 +28,14 @@ from pyspark.sql import functions as F
 from causeway.llm.common import documents, slices, sortable_id, text_or_empty, without_reserved, written
 from causeway.llm.textkit import RangeHash, mix, window_argmin
 
-LENGTH, SEED = 100, 40
-BYTES = 3 << 20
+LENGTH, SEED, HALF = 100, 40, 70
+#: Bytes of text looked at in one go (an array of 8 bytes for each is made several times over). A longer text is cut into
+#: pieces that overlap by LENGTH - 1: a block that a cut divides has no equal and is left to rounds 3 and 4, which are exact.
+BYTES = 1 << 20
 #: Low bits of a place: a hash of the text, which tells rows apart that share an id. The byte offset is above.
 TAG_BITS = 26
+#: A block's number of starts; above it the distance from the first start to the anchor.
+N_BITS, N_MASK = 8, 255
 MID_DDL = "_g bigint, _b bigint, _id bigint, _at bigint, _n int"
 _ODD = np.uint64(0xA0761D6478BD642F)
 
@@ -50,7 +56,7 @@ def _local(g, b, ids, at, n):
     yield _mid(g[new], b[new], ids[new], at[new], n[new])
     head = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
     later = ~new & ((ids != ids[head]) | (at != at[head]))  # a repeated row is the same place, not a later one
-    ids, at, n = ids[later], at[later], n[later]
+    ids, at, n = ids[later], at[later], n[later] & N_MASK
     tag, start = at & ((1 << TAG_BITS) - 1), at >> TAG_BITS
     order = np.lexsort((start, tag, ids))
     ids, tag, start, n = ids[order], tag[order], start[order], n[order].astype(np.int64)
@@ -65,51 +71,69 @@ def _local(g, b, ids, at, n):
 
 def _anchors(batches):
     for part in slices(batches, "_text", BYTES):
-        texts = part.column("_text").cast(pa.binary()).to_pylist()
-        data, begin = _joined(texts)
-        if len(data) < LENGTH:
-            continue
-        ids, tags = part.column("_id").to_numpy(zero_copy_only=False), part.column("_tag").to_numpy(zero_copy_only=False)
-        first, second = RangeHash(data), RangeHash(data, True)
-        every = np.arange(len(data) - SEED + 1)
-        values = first(every, every + SEED)
-        anchor = window_argmin(values, LENGTH - SEED + 1)
-        doc = np.repeat(np.arange(len(texts)), np.diff(begin))[: len(anchor)]
-        inside = np.arange(len(anchor)) + LENGTH <= begin[doc + 1]
-        starts = np.flatnonzero(inside)
-        if not len(starts):
-            continue
-        a, d = anchor[starts], doc[starts]
-        new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (d[1:] != d[:-1])])
-        s, n = starts[new], np.diff(np.r_[new, len(starts)])
-        g, b = values[a[new]], second(s, s + n - 1 + LENGTH)
-        owner = d[new]
-        yield from _local(g, b, ids[owner], ((s - begin[owner]) << TAG_BITS) | tags[owner], n)
-
-
-def _strings(batches):
-    """Round 3: the strings of LENGTH bytes that start in the asked places, by two hashes."""
+        pieces = [(k, at, t[at : at + BYTES + LENGTH - 1]) for k, t in enumerate(part.column("_text").cast(pa.binary()).to_pylist()) for at in range(0, max(len(t), 1), BYTES)]
+        for at in range(0, len(pieces), 1 if len(pieces) > part.num_rows else len(pieces)):
+            yield from _anchors_of(part, pieces[at : at + (1 if len(pieces) > part.num_rows else len(pieces))])
+
+
+def _anchors_of(part, pieces):
+    row, offset, texts = map(list, zip(*pieces))
+    row, offset = np.array(row), np.array(offset)
+    data, begin = _joined(texts)
+    if len(data) < LENGTH:
+        return
+    ids, tags = part.column("_id").to_numpy(zero_copy_only=False), part.column("_tag").to_numpy(zero_copy_only=False)
+    values = RangeHash(data).every(SEED)
+    anchor = window_argmin(values, LENGTH - SEED + 1)
+    doc = np.repeat(np.arange(len(texts)), np.diff(begin))[: len(anchor)]
+    inside = np.arange(len(anchor)) + LENGTH <= begin[doc + 1]
+    starts = np.flatnonzero(inside)
+    if not len(starts):
+        return
+    a, d = anchor[starts], doc[starts]
+    new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (d[1:] != d[:-1])])
+    s, n = starts[new], np.diff(np.r_[new, len(starts)])
+    g, b = values[a[new]], RangeHash(data, True)(s, s + n - 1 + LENGTH)
+    owner = d[new]
+    yield from _local(g, b, ids[row[owner]], ((s - begin[owner] + offset[owner]) << TAG_BITS) | tags[row[owner]], n | (a[new] - s) << N_BITS)
+
+
+HALF_DDL = "_g bigint, _b bigint, _id bigint, _at bigint, _n int, _s binary"
+
+
+def _halves(batches):
+    """Round 3: the asked blocks cut in two, each with the hashes of the half that its strings share and its bytes."""
     import zstandard
 
     expand = zstandard.ZstdDecompressor()
     for part in slices(batches, "_z", BYTES // 4):
         texts = [expand.decompress(z) for z in part.column("_z").to_pylist()]
         data, begin = _joined(texts)
-        first, second = RangeHash(data), RangeHash(data, True)
-        owner, start = _ranges(part)
-        at = begin[owner] + start
         ids, tags = part.column("_id").to_numpy(zero_copy_only=False), part.column("_tag").to_numpy(zero_copy_only=False)
-        yield from _local(first(at, at + LENGTH), second(at, at + LENGTH), ids[owner], (start << TAG_BITS) | tags[owner], np.ones(len(at), np.int64))
+        runs = part.column("_runs")
+        row = np.repeat(np.arange(part.num_rows), runs.value_lengths().to_numpy(zero_copy_only=False))
+        a, packed = (runs.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+        n, anchor = packed & N_MASK, a + (packed >> N_BITS)
+        last_left = np.minimum(a + n - 1, anchor - (HALF - SEED))
+        first, second = RangeHash(data), RangeHash(data, True)
+        for side, lo, hi, at in ((0, a, last_left, anchor - (HALF - SEED)), (1, np.maximum(a, last_left + 1), a + n - 1, anchor)):
+            on = np.flatnonzero(lo <= hi)
+            at, lo, hi, own = begin[row[on]] + at[on], lo[on], hi[on], row[on]
+            g = mix(first(at, at + HALF) + np.uint64(side))
+            texts_of = [texts[r][x : y + LENGTH] for r, x, y in zip(own.tolist(), lo.tolist(), hi.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(second(at, at + HALF).view(np.int64)), pa.array(ids[own]), pa.array((lo << TAG_BITS) | tags[own]), pa.array((hi - lo + 1).astype(np.int32)), pa.array(texts_of, pa.binary())], names=["_g", "_b", "_id", "_at", "_n", "_s"])
 
 
-def _ranges(part) -> tuple[np.ndarray, np.ndarray]:
-    """(row, start) of every start in the column _runs, a list of (start, number of starts)."""
-    runs = part.column("_runs")
-    counts = np.nan_to_num(np.asarray(runs.value_lengths().to_numpy(zero_copy_only=False), np.float64)).astype(np.int64)
-    flat = runs.flatten()
-    a, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-    row = np.repeat(np.repeat(np.arange(len(counts)), counts), n)
-    return row, np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+def _strings(batches):
+    """Round 4: the strings of LENGTH bytes of what is left, by two hashes."""
+    for part in slices(batches, "_s", BYTES):
+        data, begin = _joined(part.column("_s").to_pylist())
+        n = part.column("_n").to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        at = begin[row] + k
+        ids, places = (part.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_at"))
+        yield from _local(RangeHash(data)(at, at + LENGTH), RangeHash(data, True)(at, at + LENGTH), ids[row], places[row] + (k << TAG_BITS), np.ones(len(at), np.int64))
 
 
 def _squeeze(batches):
@@ -192,8 +216,10 @@ def repeated_strings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     z_ddl = ", ".join(f"{n} {t}" for n, t in [*ids, ("_z", "binary")])
     squeezed = keyed.mapInArrow(_squeeze, z_ddl)
     asked = squeezed.join(_by_document(ranked.where("_ask")), key).dropDuplicates(["_id", "_tag"]).select("_id", "_tag", "_z", "_runs")
-    strings = _first_of(asked.mapInArrow(_strings, MID_DDL)).where("_n < 0 OR _later").select("_id", "_at", "_n")
-    repeats = ranked.where("NOT _ask").select("_id", "_at", "_n").unionByName(strings).withColumn("_n", F.abs("_n"))
+    here, same = F.struct("_id", "_at"), Window.partitionBy("_g", "_b")
+    halves = asked.mapInArrow(_halves, HALF_DDL).withColumns({"_lo": F.min(here).over(same), "_hi": F.max(here).over(same)}).where("_lo <> _hi").select("_id", "_at", "_n", "_s")
+    strings = _first_of(halves.mapInArrow(_strings, MID_DDL)).where("_n < 0 OR _later").select("_id", "_at", "_n")
+    repeats = ranked.where("NOT _ask").select("_id", "_at", "_n").unionByName(strings).withColumn("_n", F.when(F.col("_n") < 0, -F.col("_n")).otherwise(F.col("_n").bitwiseAND(N_MASK)))
     out = squeezed.join(_by_document(repeats), key, "left").select("doc_id", "_z", "_runs")
     kind = keyed.schema["doc_id"].dataType.simpleString()
     return out.mapInArrow(_cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, removed array<struct<start: bigint, end: bigint>>, kept binary, kept_sha256 string")

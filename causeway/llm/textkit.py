@@ -52,6 +52,11 @@ class RangeHash:
         values = _TABLES[second][data] if data.dtype == np.uint8 else data
         np.cumsum(values * power[: len(data)], out=self.sums[1:])
 
+    def every(self, width: int) -> np.ndarray:
+        """The hashes of all stretches of one width, by start: as calling it, without the gathers."""
+        n = len(self.sums) - width
+        return mix((self.sums[width:] - self.sums[:n]) * self.inverse[:n] + np.uint64(width))
+
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix((self.sums[b] - self.sums[a]) * self.inverse[a] + (b - a).astype(np.uint64))
 
