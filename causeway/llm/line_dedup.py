@@ -39,9 +39,10 @@ def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", r
     # A fingerprint that is picked by several windows in a row is one position; a window starts a new one
     # at its own first line or where the pick moves, so places are told apart by (document, line).
     shared = windows.groupBy("_fp").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_fp").alias("_fp_s"))
-    kept = windows.join(shared, F.col("_fp") == F.col("_fp_s"), "left_semi")
+    # Groups are written before they are joined: with an exchange on either side AQE can split a hot one.
+    kept = windows.join(written(shared, "line-fingerprints"), F.col("_fp") == F.col("_fp_s"), "left_semi")
     first = kept.groupBy("_w1", "_w2").agg(F.min(F.struct("_id", "_t", "_s")).alias("_at"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    first = first.select(F.col("_w1").alias("_f1"), F.col("_w2").alias("_f2"), "_at")
+    first = written(first.select(F.col("_w1").alias("_f1"), F.col("_w2").alias("_f2"), "_at"), "line-firsts")
     later = kept.join(first, (F.col("_w1") == F.col("_f1")) & (F.col("_w2") == F.col("_f2"))).where(F.struct("_id", "_t", "_s") > F.col("_at"))
     place = Window.partitionBy("_id", "_t").orderBy("_s")
     later = later.select("_id", "_t", "_s").withColumn("_new", (F.col("_s") > F.coalesce(F.lag("_s").over(place), F.lit(-1 - run)) + run).cast("int"))
