@@ -48,6 +48,8 @@ def rake_sql(cells: str, targets: dict[str, dict[str, float]], sweeps: int) -> s
     Targets of values that no document has are left out and the others of that dimension scaled up.
     """
     dims = list(targets)
+    if len(dims) * sweeps > 90:
+        raise ValueError("each step is a nested window, and the analyzer takes about 100: dimensions x sweeps must be 90 or less")
     goal = {d: f"CASE {d} " + " ".join(f"WHEN '{k}' THEN CAST({float(v)!r} AS DOUBLE)" for k, v in t.items()) + " ELSE CAST(0.0 AS DOUBLE) END" for d, t in targets.items()}
     steps = [f"c0 AS (SELECT {', '.join(dims)}, tokens, CAST(tokens AS DOUBLE) AS w, {', '.join(f'{g} AS g_{d}' for d, g in goal.items())} FROM {cells})"]
     steps.append("c1 AS (SELECT *, " + ", ".join(f"count(*) OVER (PARTITION BY {d}) AS n_{d}" for d in dims) + " FROM c0)")
