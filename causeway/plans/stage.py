@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """At the end of the job; nothing is lost if the session has gone first."""
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001
+        pass
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -17,4 +27,5 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base}/causeway/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
