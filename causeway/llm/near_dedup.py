@@ -29,17 +29,20 @@ from causeway.llm.textkit import mix, shingles, words
 
 BANDS, ROWS, SLOTS = 21, 6, 128
 THRESHOLD = 0.8
-BYTES = 4 << 20
+BYTES = 2 << 20
 #: Texts on one side of a block, and columns of its matrices at a time.
 CHUNK, COLUMNS = 256, 1 << 14
 _G1, _G2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
 def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shingle, its count, its text) for the distinct shingles of each text, sorted by text and shingle."""
+    """(shingle, its count, its text) for the distinct shingles of each text, in no order that matters."""
     hashes, begin = shingles(*words(texts))
+    if len(texts) == 1:
+        found, count = np.unique(hashes, return_counts=True)
+        return found, count, np.zeros(len(found), np.int64)
     text = np.repeat(np.arange(len(texts)), np.diff(begin))
-    order = np.lexsort((hashes, text))
+    order = np.argsort(hashes ^ mix(text.astype(np.uint64) + _G1))  # one key: much faster than sorting by two
     hashes, text = hashes[order], text[order]
     first = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])]) if len(hashes) else np.zeros(0, np.int64)
     return hashes[first], np.diff(np.r_[first, len(hashes)]), text[first]
