@@ -54,6 +54,11 @@ def event_nodes(rules: DataFrame) -> DataFrame:
     return out.withColumn("node_id", F.concat(F.lit("EVENT::"), "event_id"))
 
 
+def event_facts(rules: DataFrame) -> DataFrame:
+    """What path search needs of events: event_id, node_ord, is_condition, is_effect; counts only, no lists."""
+    return occurrences(rules).groupBy("event_id").agg(F.min("ord").alias("node_ord"), (F.count_if(F.col("role") == "CONDITION") > 0).alias("is_condition"), (F.count_if(F.col("role") == "EFFECT") > 0).alias("is_effect"))
+
+
 def subject_nodes(rules: DataFrame) -> DataFrame:
     out = rules.where("subject_norm <> ''").groupBy("subject_norm").agg(
         F.min_by("legal_subject", "row_pos").alias("label"), F.array_join(in_order(F.col("legal_subject"), F.col("row_pos")), " || ").alias("texts"),

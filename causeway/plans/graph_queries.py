@@ -32,7 +32,7 @@ QUERIES = {
     "edges_all": lambda s, d: G.all_edges(rules(s, d)),
     "causal_edges": lambda s, d: _edges(s, d).select("src", "dst", "support", F.array_join("rule_ids_sorted", ",").alias("rule_ids_sorted"), F.array_join("rule_ids", ",").alias("rule_ids"), F.array_join("article_ids", ",").alias("article_ids"), "succ_ord"),
     "graph_stats_types": lambda s, d: G.graph_statistics(rules(s, d)),
-    "event_roles": lambda s, d: G.event_roles(G.event_nodes(rules(s, d))),
+    "event_roles": lambda s, d: G.event_roles(G.event_facts(rules(s, d))),
     "bridge_events": lambda s, d: G.bridges(G.event_nodes(rules(s, d))),
     "bridge_intersect": lambda s, d: rules(s, d).select(F.col("condition_event").alias("event_id")).intersect(rules(s, d).select("effect_event")),
     "two_hop_chains": lambda s, d: G.two_hop(_edges(s, d)),
@@ -40,7 +40,7 @@ QUERIES = {
     "roots": lambda s, d: G.roots(dag(_edges(s, d))),
     "leaves": lambda s, d: G.leaves(dag(_edges(s, d))),
     "long_chains": lambda s, d: G.long_chains(dag(_edges(s, d)), CHAIN_NODES, CHAIN_DEPTH).select(F.array_join("path", ">").alias("path"), "n_nodes"),
-    "weak_components": lambda s, d: G.weak_components(G.event_nodes(rules(s, d)), _edges(s, d)),
+    "weak_components": lambda s, d: G.weak_components(G.event_facts(rules(s, d)), _edges(s, d)),
     "is_dag": lambda s, d: G.cyclic_core(dag(_edges(s, d))).agg((F.count(F.lit(1)) == 0).alias("is_dag")),
     "is_dag_cyclic": lambda s, d: G.cyclic_core(_edges(s, d)).agg((F.count(F.lit(1)) == 0).alias("is_dag")),
     "rule_dedup": lambda s, d: R.deduplicated(rules(s, d)).select("rule_id", "article_id", "article_index"),

@@ -57,6 +57,13 @@ def _turns(s, d) -> DataFrame:
     return table(s, d, "conversations").withColumn("before", F.lag("text").over(place)).where("before IS NOT NULL")
 
 
+def _token_f1(s, d) -> DataFrame:
+    rows = _turns(s, d).select("conv_id", "turn", *(t(F.col(c)).alias(f"{n}{v}") for v, t in ((6, T.tokens_v6), (7, T.tokens_v7)) for n, c in (("p", "before"), ("g", "text"))))
+    for v in (6, 7):
+        rows = M.with_token_f1(rows, ["conv_id", "turn"], F.col(f"p{v}"), F.col(f"g{v}"), f"f1_v{v}")
+    return rows.select("conv_id", "turn", F.round("f1_v6", 6).alias("f1_v6"), F.round("f1_v7", 6).alias("f1_v7"))
+
+
 def _at_k(p, g):
     out = {}
     for k in M.KS:
@@ -95,7 +102,7 @@ QUERIES = {
     "set_metrics_v7": lambda s, d: _rows(s, d, lambda p, g: {k: v for k, v in M.set_metrics_v7(p, g).items() if k != "true_positive"}),
     "hit_recall_precision_at_k": lambda s, d: _rows(s, d, _at_k),
     "mrr_map": lambda s, d: _rows(s, d, lambda p, g: {"mrr": M.reciprocal_rank(p, g), "map": M.average_precision(p, g)}),
-    "token_f1": lambda s, d: _turns(s, d).select("conv_id", "turn", F.round(M.token_f1(T.tokens_v6(F.col("before")), T.tokens_v6(F.col("text"))), 6).alias("f1_v6"), F.round(M.token_f1(T.tokens_v7(F.col("before")), T.tokens_v7(F.col("text"))), 6).alias("f1_v7")),
+    "token_f1": lambda s, d: _token_f1(s, d),
     "answer_exact": lambda s, d: _turns(s, d).select("conv_id", "turn", (T.text_v6(F.col("before")) == T.text_v6(F.col("text"))).alias("em_v6"), (T.text_v7(F.col("before")) == T.text_v7(F.col("text"))).alias("em_v7")),
     "rouge_l": lambda s, d: _turns(s, d).select("conv_id", "turn", F.round(M.rouge_l(T.tokens_v6(F.col("before")), T.tokens_v6(F.col("text"))), 6).alias("rouge_l")),
     "hop_accuracy": lambda s, d: _rows(s, d, lambda p, g: {"hop_accuracy": M.hop_accuracy(M.pairs(F.coalesce(p, F.array().cast("array<string>"))), M.pairs(g))}),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,20 +16,57 @@ from causeway.plans.bindings import EDGES, rules, table
 from causeway.plans.stage import stage
 
 
+def _once(make):
+    """A stage that is worked out at its first use and then read from its table."""
+    name = make.__name__
+
+    @wraps(make)
+    def read(self) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = stage(make(self), name)
+        return self._made[name]
+
+    return read
+
+
 class Run:
     """The stages of one run over the driver's tables, each worked out once and kept as a table."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.rules = stage(rules(spark, sf_dir), "rules")
-        self.edges = stage(G.causal_edges(self.rules), "edges")
-        self.events = G.event_nodes(self.rules).select("event_id", "node_ord", "is_condition", "is_effect")
+        self._made: dict[str, DataFrame] = {}
+        self._source = spark, sf_dir
         vec = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-        first = self.rules.groupBy("article_id").agg(F.min_by("rule_id", "row_pos").alias("rule_id"))
         even = F.col("vec_id") % 2 == 0
         memory = vec.withColumns({"memory_type": F.when(even, "EVENT").otherwise("RULE"), "event_id": F.when(even, F.concat(F.lit("part_"), (F.col("vec_id") / 2).cast("bigint"))), "article_id": F.when(~even, F.col("vec_id").cast("string"))})
-        self.memory = memory.join(first, "article_id", "left").withColumnRenamed("vec_id", "memory_id")
+        self._vectors = memory.withColumnRenamed("vec_id", "memory_id")
         self.questions = vec.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "question_id")
 
+    @_once
+    def _rules(self) -> DataFrame:
+        return rules(*self._source)
+
+    @property
+    def rules(self) -> DataFrame:
+        return self._rules()
+
+    @_once
+    def _edges(self) -> DataFrame:
+        return G.causal_edges(self.rules)
+
+    @property
+    def edges(self) -> DataFrame:
+        return self._edges()
+
+    @property
+    def events(self) -> DataFrame:
+        return G.event_facts(self.rules)
+
+    @property
+    def memory(self) -> DataFrame:
+        first = self.rules.groupBy("article_id").agg(F.min_by("rule_id", "row_pos").alias("rule_id"))
+        return self._vectors.join(first, "article_id", "left")
+
+    @_once
     def hits(self) -> DataFrame:
         found = V.top_k(self.questions, self.memory, R.TOP_K, R.FLOORS)
         return found.join(self.memory.select("memory_id", "event_id", "rule_id"), "memory_id")
@@ -41,28 +80,30 @@ class Run:
     def bfs(self, direction: str) -> DataFrame:
         return R.bounded_paths(self.seeds(), self.edges, self.events, direction)
 
+    @_once
     def paths(self) -> DataFrame:
         return R.ranked_paths(self.seeds(), self.edges, self.events)
 
     def candidates(self) -> DataFrame:
         return R.candidate_rules(self.seeds(), self.direct(), self.paths(), self.edges)
 
+    @_once
     def evidence(self) -> DataFrame:
         return R.reranked(self.questions, self.candidates(), self.direct(), self.memory.where("rule_id IS NOT NULL"))
 
+    @_once
     def oriented(self) -> DataFrame:
         return C.oriented(self.paths(), self.edges)
 
     def mediators(self) -> DataFrame:
         return C.mediators(self.oriented(), self.edges)
 
+    @_once
     def verified(self) -> DataFrame:
-        paths = stage(self.oriented(), "oriented")
-        return C.verified_paths(paths, C.mediators(paths, self.edges))
+        return C.verified_paths(self.oriented(), self.mediators())
 
     def judged_evidence(self) -> tuple[DataFrame, DataFrame]:
-        paths = stage(self.verified(), "verified")
-        return C.verified_evidence(stage(self.evidence(), "evidence"), paths), paths
+        return C.verified_evidence(self.evidence(), self.verified()), self.verified()
 
     def final(self) -> dict[str, DataFrame]:
         evidence, paths = self.judged_evidence()

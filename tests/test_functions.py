@@ -68,9 +68,10 @@ def test_ranking(spark):
 
 
 def test_token_f1_of_both_generations(spark):
-    row = spark.createDataFrame([("trách nhiệm", "trach nhiem")], "a string, b string")
-    assert row.select(M.token_f1(T.tokens_v6(F.col("a")), T.tokens_v6(F.col("b")))).first()[0] == 0
-    assert row.select(M.token_f1(T.tokens_v7(F.col("a")), T.tokens_v7(F.col("b")))).first()[0] == 1
+    rows = spark.createDataFrame([(1, "trách nhiệm", "trach nhiem"), (2, "", ""), (3, "a a b", "a c"), (4, "x", "")], "k int, a string, b string")
+    for tokens, want in ((T.tokens_v6, [0, 1, 0.4, 0]), (T.tokens_v7, [1, 1, 0.4, 0])):
+        got = M.with_token_f1(rows, ["k"], tokens(F.col("a")), tokens(F.col("b")), "f1").orderBy("k").collect()
+        assert [r.f1 for r in got] == pytest.approx(want)
 
 
 def test_lcs():
