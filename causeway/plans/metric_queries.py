@@ -122,7 +122,7 @@ QUERIES = {
 
 def _k(k: int) -> str:
     top, hit = f"pr[1:{k}]", f"len(list_intersect(pr[1:{k}], gold))"
-    return f"CASE WHEN {hit} > 0 THEN 1.0 ELSE 0.0 END AS hit_{k}, CASE WHEN ng = 0 OR {hit} > 0 THEN 1.0 ELSE 0.0 END AS hit7_{k}, round(CASE WHEN ng = 0 THEN 1 ELSE {hit} / ng END, 6) AS recall_{k}, round(CASE WHEN len({top}) > 0 THEN {hit} / len({top}) ELSE 0 END, 6) AS precision_{k}"
+    return f"CASE WHEN {hit} > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS hit_{k}, CASE WHEN ng = 0 OR {hit} > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS hit7_{k}, round(CASE WHEN ng = 0 THEN 1 ELSE {hit} / ng END, 6) AS recall_{k}, round(CASE WHEN len({top}) > 0 THEN {hit} / len({top}) ELSE 0 END, 6) AS precision_{k}"
 
 
 def _tok(x: str, v: int) -> str:
