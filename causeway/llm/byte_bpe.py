@@ -43,7 +43,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _packed(*arrays) -> bytes:
+def _packed(*arrays, level: int = 3) -> bytes:
     """Arrays (or bytes) as one compressed value; integers by planes of bytes, as the high ones are mostly zero."""
     import zstandard
 
@@ -52,7 +52,7 @@ def _packed(*arrays) -> bytes:
         if not isinstance(a, bytes):
             a = np.ascontiguousarray(a, dtype="<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
         out += [np.uint64(len(a)).tobytes(), a]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(out))
 
 
 def _unpacked(value: bytes) -> list[bytes]:
@@ -114,7 +114,7 @@ def _block_rows(rows: pa.RecordBatch, pattern, buckets: int) -> Iterator[tuple]:
     for x in texts:
         digest.update(x.encode("utf-8", "replace"))
     block = digest.hexdigest()
-    yield block, POSITIONS, int(block[:7], 16) % buckets, _packed(head, lengths, flat, first, sizes)
+    yield block, POSITIONS, int(block[:7], 16) % buckets, _packed(head, lengths, flat, first, sizes, level=9)
     order = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(ends)):
