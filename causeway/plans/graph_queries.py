@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import text as T
 from causeway.operators import graph as G
+from causeway.operators import memory as M
 from causeway.operators import rules as R
 from causeway.plans.bindings import DAG, EDGES, RULES, dag, raw_rules, rules, table
 
@@ -49,6 +50,9 @@ QUERIES = {
     "text_matchkey": lambda s, d: table(s, d, "documents").select("doc_id", T.match_key(F.col("text")).alias("match_key")),
     "text_tokens_v6": lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(T.tokens_v6(F.col("text")), " ").alias("tokens")),
     "text_tokens_v7": lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(T.tokens_v7(F.col("text")), " ").alias("tokens")),
+    "rule_embedding_text": lambda s, d: rules(s, d).select("rule_id", F.md5(M.rule_text().cast("binary")).alias("text_md5")),
+    "event_embedding_text": lambda s, d: G.event_nodes(rules(s, d)).withColumn("event_role", M.event_role()).select("event_id", "event_role", F.md5(M.event_text().cast("binary")).alias("text_md5")),
+    "event_modality": lambda s, d: table(s, d, "part").select("p_partkey", F.concat(F.when(F.col("p_size") > 40, "bị ").when(F.col("p_size") > 30, "có thể được ").otherwise(""), "p_name").alias("t")).select("p_partkey", M.modality(F.col("t"))[0].alias("event"), M.modality(F.col("t"))[1].alias("modality")),
     "text_slug": lambda s, d: table(s, d, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug")),
 }
 
@@ -106,5 +110,9 @@ SQL = {
     "text_matchkey": f"SELECT doc_id, trim(regexp_replace({_LOW}, '[^a-z0-9]+', ' ', 'g')) AS match_key FROM documents",
     "text_tokens_v6": "SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[0-9A-Za-zÀ-ỹĐđ]+(?:[''’-][0-9A-Za-zÀ-ỹĐđ]+)?'), ' ') AS tokens FROM documents",
     "text_tokens_v7": rf"SELECT doc_id, trim(regexp_replace({_LOW}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS tokens FROM documents",
+    "rule_embedding_text": f"""WITH {RULES} SELECT rule_id, md5('Loại bộ nhớ: Quy tắc pháp lý' || chr(10) || 'Chủ thể pháp lý: ' || legal_subject || chr(10) || 'Điều kiện pháp lý: ' || condition || chr(10) || 'Hệ quả pháp lý: ' || effect || chr(10)
+      || 'Sự kiện điều kiện: ' || condition_event_name || chr(10) || 'Mã sự kiện điều kiện: ' || condition_event || chr(10) || 'Tình thái điều kiện: ' || condition_event_modality || chr(10) || 'Sự kiện hệ quả: ' || effect_event_name || chr(10)
+      || 'Mã sự kiện hệ quả: ' || effect_event || chr(10) || 'Tình thái hệ quả: ' || effect_event_modality || chr(10) || 'Loại quan hệ nhân quả: DIRECT' || chr(10) || 'Điều luật: Điều ' || article_id || '. ' || article_title) AS text_md5 FROM rules""",
+    "event_modality": "SELECT p_partkey, p_name AS event, CASE WHEN p_size > 40 THEN 'IMPOSED' WHEN p_size > 30 THEN 'POSSIBLE_GRANTED' ELSE 'UNSPECIFIED' END AS modality FROM part",
     "text_slug": "SELECT p_partkey, replace(lower(p_name), ' ', '_') AS slug FROM part",
 }

@@ -124,3 +124,34 @@ def test_lexical_ranking(spark):
     assert got == {1: "e0", 2: None}
     best = CA.ranked_candidates(phrases, catalog).where("rank = 1").collect()
     assert {r.phrase_id: r.event_id for r in best} == {1: "e0", 2: "e1"}
+
+
+@pytest.mark.parametrize(
+    ("value", "edges", "events"),
+    [
+        ({"edges": [{"source": "a", "target": "b"}, {"from": "b", "to": 3.0}]}, [("a", "b"), ("b", "3")], ["a", "b", "3"]), ("a -> b→c", [("a", "b"), ("b", "c")], ["a", "b", "c"]),
+        (["x", {"event_id": "y"}], [("x", "y")], ["x", "y"]), ({"id": 7}, [], ["7"]), (None, [], []), ([], [], []), ("alone", [], ["alone"]),
+    ],
+)
+def test_paths_of_many_shapes(value, edges, events):
+    from causeway.functions import shapes
+
+    assert shapes.path_of(value) == (edges, events)
+
+
+def test_deep_fields_and_ids(spark):
+    from causeway.functions import shapes
+
+    rows = spark.createDataFrame([('{"out": {"answer": "x", "rules": [{"rule_id": 2.0}, {"id": "b"}, "c"]}}',), ("broken",), (None,)], "j string")
+    got = rows.select(shapes.field(F.col("j"), ["final", "answer"]).alias("f"), shapes.ids(F.col("j"), ["rule_id", "id"]).alias("i"), shapes.path(F.col("j")).alias("p")).collect()
+    assert [r.f for r in got] == ['"x"', None, None] and got[1].i == [] and got[0].p.events == []
+    assert shapes.ids_of([{"rule_id": 2.0}, {"id": "b"}, "c", {"k": [{"id": "d"}]}], ["rule_id", "id"]) == ["2", "b", "c", "d"]
+
+
+def test_memory_problems(spark):
+    from causeway.operators.memory import problems
+
+    nodes = spark.createDataFrame([("a",), ("b",)], "node_id string")
+    memory = spark.createDataFrame([(0, "RULE", "a"), (2, "RULE", "c")], "memory_id long, memory_type string, graph_node_id string")
+    got = {r.problem: r.n for r in problems(memory, nodes, spark.createDataFrame([(0,), (5,)], "memory_id long")).collect()}
+    assert got == {"ids are not 0 to n - 1": 1, "no EVENT": 1, "memory without a node": 1, "memory without a vector": 1, "vector without memory": 1}
