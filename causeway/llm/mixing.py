@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import documents, text_or_empty, without_reserved
+from causeway.llm.common import documents, text_or_empty, without_reserved, written
 
 REST = "*"
 #: Production targets. documents has no topic column; its topic here is the form of the text by length.
@@ -21,7 +21,7 @@ TARGETS: dict[str, dict[str, float]] = {
     "lang": {"en": 0.46, "de": 0.18, "fr": 0.18, "es": 0.16, REST: 0.02},
     "topic": {"note": 0.05, "article": 0.55, "book": 0.40},
 }
-SWEEPS = 12
+SWEEPS, SWEEPS_AT_ONCE = 12, 3
 #: The share of the tokens that a cell keeps if it is as large as its calibrated share.
 RATE = 0.6
 #: More cells than this would not be a bounded broadcast.
@@ -42,25 +42,48 @@ def _class(value: Column, targets: dict[str, float]) -> Column:
     return F.when(value.isin(own), value).otherwise(F.lit(REST)) if own else F.lit(REST)
 
 
+def _start_sql(cells: str, targets: dict[str, dict[str, float]]) -> list[str]:
+    """Common table expressions up to k0: the cells with their weights and goals, which add up to 1 over the values present."""
+    dims = list(targets)
+    goal = {d: f"CASE {d} " + " ".join(f"WHEN '{k}' THEN CAST({float(v)!r} AS DOUBLE)" for k, v in t.items()) + " ELSE CAST(0.0 AS DOUBLE) END" for d, t in targets.items()}
+    return [
+        f"c0 AS (SELECT {', '.join(dims)}, tokens, CAST(tokens AS DOUBLE) AS w, {', '.join(f'{g} AS g_{d}' for d, g in goal.items())} FROM {cells})",
+        "c1 AS (SELECT *, " + ", ".join(f"count(*) OVER (PARTITION BY {d}) AS n_{d}" for d in dims) + " FROM c0)",
+        "k0 AS (SELECT " + ", ".join(dims) + ", tokens, w, " + ", ".join(f"g_{d} / sum(g_{d} / n_{d}) OVER () AS g_{d}" for d in dims) + " FROM c1)",
+    ]
+
+
+def _sweeps_sql(dims: list[str], sweeps: int) -> list[str]:
+    """Common table expressions k1 and so on: one for each dimension and sweep."""
+    columns = f"{', '.join(dims)}, tokens, {', '.join(f'g_{x}' for x in dims)}"
+    return [f"k{k + 1} AS (SELECT {columns}, w * g_{d} / sum(w) OVER (PARTITION BY {d}) AS w FROM k{k})" for k, d in enumerate(dims * sweeps)]
+
+
+def _ratio_sql(dims: list[str], last: str) -> str:
+    return f"SELECT {', '.join(dims)}, (w / sum(w) OVER ()) / (tokens / sum(CAST(tokens AS DOUBLE)) OVER ()) AS ratio FROM {last}"
+
+
 def rake_sql(cells: str, targets: dict[str, dict[str, float]], sweeps: int) -> str:
     """SQL over the cells (one column for each dimension, and tokens) that returns them with ``ratio``, calibrated share over present share.
 
     Targets of values that no document has are left out and the others of that dimension scaled up.
     """
     dims = list(targets)
-    if len(dims) * sweeps > 90:
-        raise ValueError("each step is a nested window, and the analyzer takes about 100: dimensions x sweeps must be 90 or less")
-    goal = {d: f"CASE {d} " + " ".join(f"WHEN '{k}' THEN CAST({float(v)!r} AS DOUBLE)" for k, v in t.items()) + " ELSE CAST(0.0 AS DOUBLE) END" for d, t in targets.items()}
-    steps = [f"c0 AS (SELECT {', '.join(dims)}, tokens, CAST(tokens AS DOUBLE) AS w, {', '.join(f'{g} AS g_{d}' for d, g in goal.items())} FROM {cells})"]
-    steps.append("c1 AS (SELECT *, " + ", ".join(f"count(*) OVER (PARTITION BY {d}) AS n_{d}" for d in dims) + " FROM c0)")
-    steps.append("k0 AS (SELECT " + ", ".join(dims) + ", tokens, w, " + ", ".join(f"g_{d} / sum(g_{d} / n_{d}) OVER () AS g_{d}" for d in dims) + " FROM c1)")
-    k = 0
-    for _ in range(sweeps):
-        for d in dims:
-            steps.append(f"k{k + 1} AS (SELECT {', '.join(dims)}, tokens, {', '.join(f'g_{x}' for x in dims)}, w * g_{d} / sum(w) OVER (PARTITION BY {d}) AS w FROM k{k})")
-            k += 1
-    last = f"SELECT {', '.join(dims)}, (w / sum(w) OVER ()) / (tokens / sum(CAST(tokens AS DOUBLE)) OVER ()) AS ratio FROM k{k}"
-    return f"WITH {', '.join(steps)} {last}"
+    return f"WITH {', '.join(_start_sql(cells, targets) + _sweeps_sql(dims, sweeps))} {_ratio_sql(dims, f'k{len(dims) * sweeps}')}"
+
+
+def raked(cells: DataFrame, targets: dict[str, dict[str, float]], sweeps: int) -> DataFrame:
+    """What ``rake_sql`` says, a few sweeps at a time: a plan of all sweeps nests as many windows and weighs on the driver.
+
+    The cells are few (see ``mix``) and stay one partition, so no window needs a shuffle.
+    """
+    spark, dims = cells.sparkSession, list(targets)
+    now = spark.sql(f"WITH {', '.join(_start_sql('{cells}', targets))} SELECT * FROM k0", cells=cells.coalesce(1))
+    for at in range(0, sweeps, SWEEPS_AT_ONCE):
+        now = written(now, "cells").coalesce(1)
+        steps = _sweeps_sql(dims, min(SWEEPS_AT_ONCE, sweeps - at))
+        now = spark.sql(f"WITH k0 AS (SELECT * FROM {{now}}), {', '.join(steps)} SELECT * FROM k{len(steps)}", now=now)
+    return spark.sql(_ratio_sql(dims, "{now}"), now=written(now, "cells").coalesce(1))
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, topic: Column | None = None, text: str = "text", doc_id: str = "doc_id", sweeps: int = SWEEPS, rate: float = RATE) -> DataFrame:
@@ -82,8 +105,8 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, topic:
     keyed = docs.withColumn("n_tokens", n_tokens(text_or_empty(text)))
     keyed = keyed.withColumn("topic", topic if topic is not None else form(F.col("n_tokens")))
     keyed = keyed.withColumns({f"_{d}": _class(F.col(d), t) for d, t in targets.items()})
-    cells = keyed.where("n_tokens > 0").groupBy(*(F.col(f"_{d}").alias(d) for d in targets)).agg(F.sum("n_tokens").alias("tokens")).coalesce(1)
-    ratios = docs.sparkSession.sql(rake_sql("{cells}", targets, sweeps), cells=cells)
+    cells = keyed.where("n_tokens > 0").groupBy(*(F.col(f"_{d}").alias(d) for d in targets)).agg(F.sum("n_tokens").alias("tokens"))
+    ratios = raked(cells, targets, sweeps)
     ratios = F.broadcast(ratios.select(*(F.col(d).alias(f"_c_{d}") for d in targets), F.col("ratio").alias("_ratio")))
     on = [F.col(f"_{d}") == F.col(f"_c_{d}") for d in targets]
     out = keyed.join(ratios, on, "left")
