@@ -1,10 +1,13 @@
 """Near-duplicate embeddings through a pivot-permutation index.
 
-A bounded sample of vectors serves as pivots. Every vector is described by its PREFIX nearest pivots and
+A bounded sample of vectors, thinned to such as lie apart, serves as pivots. Every vector is described by its PREFIX nearest pivots and
 stands in the inverted lists of these. Vectors of one list are candidates if their descriptions share
 enough pivots, and candidates are verified by their cosine in double precision. A pair that several lists
 hold is counted in the list of the smallest pivot it shares. Long lists are cut into chunks and worked off
 as pairs of chunks, one task each; a task gives counts and a spanning forest for its vectors, never pairs.
+
+A pivot that stands for others of the sample marks a dense place. Vectors nearest to it are at home in its
+list: all their pairs are verified there, whatever else they share, and in no other list.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from causeway.llm.common import sortable_id, without_reserved, written, NULL_ID
 from causeway.llm.components import components
@@ -25,6 +29,8 @@ LEAST_PIVOTS, MOST_PIVOTS = 32, 8192
 #: Nearest pivots that describe a vector, and how many of them candidates share at least. At cosine 0.9 of random
 #: vectors this finds 0.98 of the pairs with 1,024 pivots, 0.998 with 200 (measured against brute force).
 PREFIX, SHARED = 8, 2
+#: Sampled vectors this close to a pivot become none: pivots within a dense group would be ordered by noise alone.
+APART = 0.7
 #: Vectors of a list that one side of a task holds at most.
 CHUNK = 1024
 THRESHOLD = 0.9
@@ -47,13 +53,28 @@ def _forest(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _block(part: pd.DataFrame, threshold: float, shared: int) -> pd.DataFrame:
+def _spread(x: np.ndarray, apart: float = APART) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of x that lie apart, chosen in order, and whether each stands for others."""
+    chosen, dense = np.empty_like(x), np.zeros(len(x), bool)
+    k = 0
+    for v in x:
+        near = chosen[:k] @ v
+        if k and near.max() >= apart:
+            dense[near.argmax()] = True
+        else:
+            chosen[k] = v
+            k += 1
+    return chosen[:k], dense[:k]
+
+
+def _block(part: pd.DataFrame, threshold: float, shared: int, dense: np.ndarray) -> pd.DataFrame:
     """Counts and forest of one pair of chunks of one list."""
     part = part.sort_values("_rep", kind="stable").reset_index(drop=True)
     pivot, i, j = int(part["_p"][0]), int(part["_i"][0]), int(part["_j"][0])
     a = np.flatnonzero(part["_chunk"].to_numpy() == i)
     b = np.flatnonzero(part["_chunk"].to_numpy() == j)
     x, perm, m = units(list(part["_v"])), np.stack(part["_perm"].to_numpy()), part["_m"].to_numpy(np.int64)
+    home = part["_home"].to_numpy()
     r, c = np.nonzero(x[a] @ x[b].T >= threshold)
     r, c = a[r], b[c]
     on = r < c if i == j else r != c
@@ -62,7 +83,10 @@ def _block(part: pd.DataFrame, threshold: float, shared: int) -> pd.DataFrame:
     for at in range(0, len(r), 1 << 16):
         p, q = perm[r[at : at + (1 << 16)]], perm[c[at : at + (1 << 16)]]
         same = (p[:, :, None] == q[:, None, :]).any(2)
-        keep[at : at + (1 << 16)] = (same.sum(1) >= shared) & (np.where(same, p, np.iinfo(np.int32).max).min(1) == pivot)
+        enough = (same.sum(1) >= shared) | (same & dense[p]).any(1)
+        once = np.where(same, p, np.iinfo(np.int32).max).min(1) == pivot
+        h = home[r[at : at + (1 << 16)]]
+        keep[at : at + (1 << 16)] = np.where((h >= 0) & (h == home[c[at : at + (1 << 16)]]), h == pivot, enough & once)
     r, c = r[keep], c[keep]
     n = np.bincount(r, m[c], len(part)) + np.bincount(c, m[r], len(part))
     linked = np.zeros((len(part), len(part)), bool)
@@ -92,7 +116,8 @@ def near_duplicate_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str =
     n = classes.count()
     most = max(LEAST_PIVOTS, min(MOST_PIVOTS, 2 * math.isqrt(max(n, 1))))
     sample = classes.orderBy(F.xxhash64("_rep"), "_rep", "_x").limit(most).select("_x").collect()
-    pivots = spark.sparkContext.broadcast(units([np.array(r._x, np.float64).tobytes() for r in sample]) if sample else np.zeros((0, 0)))
+    apart, dense = _spread(units([np.array(r._x, np.float64).tobytes() for r in sample]) if sample else np.zeros((0, 0)))
+    pivots = spark.sparkContext.broadcast(apart)
 
     def describe(batches):
         for part in batches:
@@ -101,15 +126,21 @@ def near_duplicate_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str =
             x = part.column("_x").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
             near = (x / np.sqrt((x * x).sum(1, keepdims=True))) @ pivots.value.T
             perm = np.argsort(-near, axis=1, kind="stable")[:, :prefix].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("_rep"), part.column("_m"), pa.array(list(perm), pa.list_(pa.int32())), pa.array([v.tobytes() for v in x], pa.binary())], names=["_rep", "_m", "_perm", "_v"])
+            home = np.where(dense[perm[:, 0]], perm[:, 0], -1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("_rep"), part.column("_m"), pa.array(home), pa.array(list(perm), pa.list_(pa.int32())), pa.array([v.tobytes() for v in x], pa.binary())], names=["_rep", "_m", "_home", "_perm", "_v"])
 
-    indexed = written(classes.mapInArrow(describe, "_rep bigint, _m bigint, _perm array<int>, _v binary"), "vector-index")
+    indexed = written(classes.mapInArrow(describe, "_rep bigint, _m bigint, _home int, _perm array<int>, _v binary"), "vector-index")
     lists = indexed.select("*", F.explode("_perm").alias("_p"))
-    sizes = lists.groupBy("_p").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("_chunks"))  # a row for each pivot at most
-    lists = lists.join(F.broadcast(sizes), "_p").withColumn("_chunk", F.pmod(F.xxhash64("_rep", "_v"), F.col("_chunks")).cast("int"))
-    tasks = lists.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    tasks = tasks.select("_p", F.least("_chunk", "_with").alias("_i"), F.greatest("_chunk", "_with").alias("_j"), "_chunk", "_rep", "_m", "_perm", "_v")
-    found = tasks.groupBy("_p", "_i", "_j").applyInPandas(lambda part: _block(part, threshold, shared), "_rep bigint, _n bigint, _to bigint")
+    # Chunks hold vectors of one home. A list has a row for each home in it; its chunks are numbered home by home.
+    sizes = lists.groupBy("_p", "_home").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("_chunks"))
+    sizes = sizes.withColumns({"_to": F.sum("_chunks").over(Window.partitionBy("_p").orderBy("_home")).cast("int"), "_all": F.sum("_chunks").over(Window.partitionBy("_p")).cast("int")})
+    lists = lists.join(F.broadcast(sizes), ["_p", "_home"]).withColumn("_chunk", F.col("_to") - 1 - F.pmod(F.xxhash64("_rep", "_v"), F.col("_chunks")).cast("int"))
+    elsewhere = (F.col("_home") >= 0) & (F.col("_home") != F.col("_p"))
+    others = F.sequence(F.lit(0), F.col("_all") - 1)
+    others = F.when(elsewhere, F.filter(others, lambda k: (k < F.col("_to") - F.col("_chunks")) | (k >= F.col("_to")))).otherwise(others)
+    tasks = lists.withColumn("_with", F.explode(others))
+    tasks = tasks.select("_p", F.least("_chunk", "_with").alias("_i"), F.greatest("_chunk", "_with").alias("_j"), "_chunk", "_rep", "_m", "_home", "_perm", "_v")
+    found = tasks.groupBy("_p", "_i", "_j").applyInPandas(lambda part: _block(part, threshold, shared, dense), "_rep bigint, _n bigint, _to bigint")
     found = written(found, "vector-links")
     counts = found.groupBy("_rep").agg(F.sum("_n").alias("_n"))
     labels = components(found.select(F.col("_rep").alias("a"), F.col("_to").alias("b")).unionByName(

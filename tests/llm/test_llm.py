@@ -343,6 +343,23 @@ def test_vectors(spark):
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_a_dense_group(spark):
+    """A third of the rows are near copies of one vector: their pairs are found like any other."""
+    rng = np.random.default_rng(4)
+    n, d = 6000, 64
+    x = rng.standard_normal((n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[: n // 3] = np.sqrt(0.9) * x[0] + np.sqrt(0.1 / d) * rng.standard_normal((n // 3, d))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    m = u @ u.T >= 0.9
+    np.fill_diagonal(m, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicate_vectors(df).collect()}
+    links = m.sum(1)
+    assert all(got[i] <= links[i] for i in range(n))
+    assert sum(got.values()) / links.sum() >= 0.99
+
+
 def test_index_recall_at_the_threshold():
     """Pairs of random vectors at cosine 0.9 exactly share enough pivots in nine of ten cases at least."""
     rng = np.random.default_rng(1)
