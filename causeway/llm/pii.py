@@ -83,6 +83,10 @@ WORDS = {
     "oh": "0",
 }
 ENDINGS = "com|org|net|edu|gov|info|biz|io|co|ai|app|dev|eu|uk|us|de|fr|es|it|nl|ch|at|be|pt|pl|ru|cn|jp|in|br|mx|ca|au"
+ENDINGS += "|mil|int|name|pro|mobi|xyz|online|site|shop|tech|cloud|me|tv|cc|ac|ad|ae|af|ag|al|am|ao|ar|as|aw|az|ba|bb|bd|bf|bg|bh|bi|bj|bm|bn|bo|bs|bt|bw|by|bz|cd|cf|cg|ci|ck|cl|cm|cr|cu|cv|cw|cy|cz|dj|dk|dm|do|dz|ec|ee|eg|er|et|fi|fj|fk|fm|fo|ga|gd|ge|gf|gg|gh|gi|gl|gm|gn|gp|gq|gr|gt|gu|gw|gy|hk|hn|hr|ht|hu|id|ie|il|im|iq|ir|is|je|jm|jo|ke|kg|kh|ki|km|kn|kp|kr|kw|ky|kz|la|lb|lc|li|lk|lr|ls|lt|lu|lv|ly|ma|mc|md|mg|mh|mk|ml|mm|mn|mo|mp|mq|mr|ms|mt|mu|mv|mw|my|mz|na|nc|ne|nf|ng|ni|no|np|nr|nu|nz|om|pa|pe|pf|pg|ph|pk|pm|pn|pr|ps|pw|py|qa|re|ro|rs|rw|sa|sb|sc|sd|se|sg|sh|si|sk|sl|sm|sn|so|sr|ss|st|su|sv|sx|sy|sz|tc|td|tf|tg|th|tj|tk|tl|tm|tn|to|tr|tt|tw|tz|ua|ug|uy|uz|va|vc|ve|vg|vi|vn|vu|wf|ws|ye|yt|za|zm|zw"
+#: Endings that are common words as well: behind "the dot" and the like they are no address.
+WORDLIKE = frozenset("me am as do is la ma my no pa re so to".split())
+ARTICLES = frozenset("the a this that each every any one first last".split())
 
 LOOKALIKE = str.maketrans(CYRILLIC | GREEK | MARKS | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {chr(c): str(unicodedata.digit(chr(c))) for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) == "Nd"})
 UNSEEN = re.compile(f"[{INVISIBLE}]+")
@@ -95,6 +99,14 @@ WORDED = re.compile(
     rf"[A-Za-z0-9-]{{1,63}}(?:(?:\.|\s{{1,3}}(?:{DOT})\s{{1,3}})[A-Za-z0-9-]{{1,63}}){{0,6}}\s{{1,3}}(?:{DOT})\s{{1,3}}(?:{ENDINGS})\b",
     re.I,
 )
+#: The same where the last dot stood in brackets and is now BOXED.
+BOXED = "\ue000"
+WORDED_BOXED = re.compile(
+    rf"(?<![A-Za-z0-9._%+{BOXED}-])[A-Za-z0-9_%+-]{{1,64}}(?:(?:[.{BOXED}]|\s{{1,3}}(?:{DOT})\s{{1,3}})[A-Za-z0-9_%+-]{{1,64}}){{0,4}}\s{{1,3}}(?:{AT})\s{{1,3}}"
+    rf"[A-Za-z0-9-]{{1,63}}(?:(?:[.{BOXED}]|\s{{1,3}}(?:{DOT})\s{{1,3}})[A-Za-z0-9-]{{1,63}}){{0,6}}{BOXED}(?:{ENDINGS})\b",
+    re.I,
+)
+WORDED_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|\s{{1,3}}(?:{DOT})\s{{1,3}})[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 WORD_AT, WORD_DOT = re.compile(rf"\s{{1,3}}(?:{AT})\s{{1,3}}", re.I), re.compile(rf"\s{{1,3}}(?:{DOT})\s{{1,3}}", re.I)
 _W = "|".join(sorted(WORDS, key=len, reverse=True))
 SPELLED_TWICE = re.compile(rf"\b(?:{_W})[\s,.-]{{1,3}}(?:(?:{DOT})[\s,.-]{{1,3}})?(?:{_W})\b", re.I)
@@ -188,6 +200,27 @@ def _unspelled(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, i
     return edits, numbers
 
 
+def _worded(text: str) -> list[re.Match]:
+    """Worded addresses without those like "at the dot is"."""
+    found = []
+    for m in WORDED.finditer(text):
+        tail = re.split(r"[\s.@]+", m[0].lower())
+        if tail[-1] not in WORDLIKE or tail[-3] not in ARTICLES:
+            found.append(m)
+    return found
+
+
+def _boxed(now: "Rewritten") -> list[re.Match]:
+    """Addresses with a worded at whose last dot stood in brackets."""
+    dots = [k for k in np.flatnonzero(now.changed & (now.end - now.start > 1)) if now.text[k] == "."]
+    if not dots:
+        return []
+    chars = list(now.text)
+    for k in dots:
+        chars[k] = BOXED
+    return list(WORDED_BOXED.finditer("".join(chars)))
+
+
 def disguised(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """What shows only after the disguises are undone, as ``plain`` gives it; what overlaps a known span is left out."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -195,7 +228,7 @@ def disguised(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, i
     spelled = _looks_spelled(points) and SPELLED_TWICE.search(text)
     low = text.lower()
     brackets = any(c in text for c in "[({<")
-    first = "@" in text or brackets and BRACKETED_AT.search(text) or any(w in low for w in DOT.split("|")) and WORDED.search(text)
+    first = "@" in text or brackets and (BRACKETED_AT.search(text) or BRACKETED_DOT.search(text)) or any(w in low for w in DOT.split("|")) and (WORDED.search(text) or WORDED_IP.search(text))
     if not (odd or first or spelled):
         return []
     now = Rewritten(text)
@@ -206,8 +239,11 @@ def disguised(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, i
         now.replace([(m.start(), m.end(), "@") for m in BRACKETED_AT.finditer(now.text)])
         now.replace([(m.start(), m.end(), ".") for m in BRACKETED_DOT.finditer(now.text)])
         now.replace([(m.start(), m.end(), "@") for m in SPACED_AT.finditer(now.text)])
+        now.replace([(x.start(), x.end(), ".") for m in WORDED_IP.finditer(now.text) for x in WORD_DOT.finditer(now.text, *m.span())])
         edits = []
-        for m in WORDED.finditer(now.text):
+        worded = _worded(now.text)
+        worded += [m for m in _boxed(now) if all(m.end() <= w.start() or m.start() >= w.end() for w in worded)]
+        for m in sorted(worded, key=lambda m: m.start()):
             own = [(x.start(), x.end(), "@") for x in WORD_AT.finditer(now.text, *m.span())][-1:]
             own = [] if "@" in m[0] else own
             edits += sorted(own + [(x.start(), x.end(), ".") for x in WORD_DOT.finditer(now.text, *m.span())])

@@ -283,6 +283,23 @@ def test_disguises(text, kind, span):
     assert [(pii.KINDS[k], text[a:b]) for a, k, b in found] == [(kind, span)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        ("host 192[.]168[.]1[.]1 up", "ip", "192[.]168[.]1[.]1"), ("host 192[dot]168[dot]1[dot]1 up", "ip", "192[dot]168[dot]1[dot]1"), ("host 192 dot 168 dot 1 dot 1 up", "ip", "192 dot 168 dot 1 dot 1"),
+        ("mail jane at example [dot] com now", "email", "jane at example [dot] com"), ("mail bo at firma dot se now", "email", "bo at firma dot se"), ("mail ola at firma dot no now", "email", "ola at firma dot no"),
+    ],
+)
+def test_disguises_without_an_at_sign(text, kind, span):
+    found = pii.disguised(text, pii.plain(text))
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b in found] == [(kind, span)]
+
+
+@pytest.mark.parametrize("text", ["look at the dot is it red", "see more at example.com today", "look at this dot to the left"])
+def test_running_text_is_no_address(text):
+    assert pii.disguised(text, pii.plain(text)) == []
+
+
 @pytest.mark.parametrize("text", ["look at the dot on the map", "one two three go", "plain words only", "a @ b", "five or six, maybe seven", "42.144.35.254 and a@b.org"])
 def test_nothing_is_added_to_clean_texts(text):
     assert pii.disguised(text, pii.plain(text)) == []
