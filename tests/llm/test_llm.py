@@ -339,6 +339,18 @@ def test_passage_with_changes(spark):
     assert any(r.start_word <= 45 and r.end_word >= 155 for r in got)
 
 
+def test_passage_twice_in_one_document(spark):
+    """Both places are whole, wherever the earlier copy lies."""
+    rnd = random.Random(10)
+    passage = prose(rnd, 600, 4000)
+    rows = [(1, f"{prose(rnd, 80)} {passage}"), (2, f"{prose(rnd, 60)} {passage} {prose(rnd, 70)} {passage} {prose(rnd, 50)}")]
+    for parts in (2, 1):
+        df = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+        got = passage_dedup.repeated_passages(df).collect()
+        covered = {w for r in got if r.doc_id == 2 for w in range(r.start_word, r.end_word)}
+        assert covered >= {*range(60, 660), *range(730, 1330)}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((300, 16))
