@@ -110,7 +110,7 @@ def leaves(edges: DataFrame) -> DataFrame:
     return degrees(edges).where("out_degree = 0 AND in_degree > 0")
 
 
-def long_chains(edges: DataFrame, min_nodes: int = 3, max_depth: int = 4) -> DataFrame:
+def long_chains(edges: DataFrame, min_nodes: int = 4, max_depth: int = 20) -> DataFrame:
     """Simple paths from roots that cannot go on, or have ``max_depth`` nodes; those of ``min_nodes`` or more.
 
     The join is unrolled ``max_depth`` - 1 times. A node whose successors are all on the path is an end.

@@ -69,6 +69,12 @@ def test_chains_components_cycles(rules):
     assert G.cyclic_core(edges.unionByName(edges.limit(1).withColumns({"src": F.lit("c"), "dst": F.lit("a")}))).count() > 0
 
 
+def test_long_chains_are_whole_by_default(spark):
+    """A chain of seven comes back whole, one of three not at all."""
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(6)] + [("x", "y"), ("y", "z")], "src string, dst string").coalesce(1)
+    assert [(tuple(r.path), r.n_nodes) for r in G.long_chains(edges).collect()] == [(tuple(f"n{k}" for k in range(7)), 7)]
+
+
 def test_components_against_union_find(spark):
     import random
 
