@@ -243,12 +243,67 @@ def test_language(spark, docs, empty):
     assert language_id.identify(empty, model).count() == 0
 
 
+def _plain_grams(text):
+    low = "".join(c if c.isalpha() else " " for c in text.lower())
+    return {low[i : i + n] for n in (1, 2, 3) for i in range(len(low) - n + 1)}
+
+
 def test_kernel_counts_shared_ngrams():
     a, b = "abc abd", "abd xyz"
     model = language_id.fit([("x", a), ("y", b)])
-    grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
-    k, _ = language_id._kernel([a, b], *language_id._lookup(model), model.landmarks)
-    assert k[0, 1] == pytest.approx(len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b))), rel=1e-5)
+    k, letter = language_id.kernel([a, b, "12"], model)
+    want = len(_plain_grams(a) & _plain_grams(b)) / np.sqrt(len(_plain_grams(a)) * len(_plain_grams(b)))
+    assert k[0, 1] == pytest.approx(want) and k[0, 0] == pytest.approx(1) and letter.tolist() == [True, True, False]
+
+
+def brute_ridge(rows, texts):
+    """Kernel ridge regression through landmarks, one against the rest, on sets of n-grams as they are."""
+    languages = sorted({x for x, _ in rows})
+    marks = [_plain_grams(t) for lang in languages for t in [t for x, t in rows if x == lang][: language_id.LANDMARKS]]
+    known = set().union(*marks)
+    k = lambda s, m: len(s & m) / np.sqrt(max(1, len(s & known)) * len(m))
+    k_nm = np.array([[k(_plain_grams(t), m) for m in marks] for _, t in rows])
+    k_mm = np.array([[k(s, m) for m in marks] for s in marks])
+    w = np.diag([1 / sum(z == x for z, _ in rows) for x, _ in rows])
+    y = np.array([[1.0 if x == lang else -1.0 for lang in languages] for x, _ in rows])
+    alpha = np.linalg.lstsq(k_nm.T @ w @ k_nm + language_id.RIDGE * (k_mm + 1e-6 * np.eye(len(marks))), k_nm.T @ w @ y, rcond=None)[0]
+    return [languages[i] for i in (np.array([[k(_plain_grams(t), m) for m in marks] for t in texts]) @ alpha).argmax(1)]
+
+
+def syllables(rnd, script, n):
+    return " ".join("".join(rnd.choices(script, k=rnd.randrange(1, 4))) for _ in range(n))
+
+
+def test_predictions_equal_brute_force(spark):
+    rnd = random.Random(11)
+    parts = {"aa": ["the", "ing", "ion", "and", "sch"], "bb": ["der", "sch", "ung", "ein", "the"], "cc": ["ción", "que", "los", "ing"]}
+    rows = [(lang, syllables(rnd, parts[lang], 20)) for lang in parts for _ in range(40)]
+    texts = [syllables(rnd, parts[rnd.choice(list(parts))], rnd.randrange(1, 12)) for _ in range(200)] + ["", "a", "zzz"]
+    model = language_id.fit(rows)
+    got = language_id.identify(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()
+    want = dict(zip(texts, brute_ridge(rows, texts)))
+    assert all(r.lang_pred == (want[r.text] if r.text else "und") for r in got)
+
+
+def test_languages_with_long_texts_only_and_many_languages(spark):
+    rnd = random.Random(12)
+    alphabets = [[chr(base + k) for k in range(20)] for base in (0x61, 0x3B1, 0x430, 0x5D0, 0x627, 0x905, 0xE01, 0x4E00, 0xAC00, 0x10D0)]
+    script = {f"l{k}": ["".join(rnd.choices(alphabets[k % 10], k=rnd.randrange(2, 4))) for _ in range(6)] for k in range(100)}
+    rows = [(k, syllables(rnd, script[lang], 4000 if lang == "l7" else 30), lang) for k in range(2000) for lang in [f"l{k % 100}"]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df.where(~language_id.held_out()))
+    assert len(model.languages) == 100
+    got = language_id.identify(df.where(language_id.held_out()), model).collect()
+    assert np.mean([r.lang_pred == r.lang for r in got]) > 0.95 and all(r.lang_pred == "l7" for r in got if r.lang == "l7")
+
+
+def test_the_sample_does_not_depend_on_the_order(spark):
+    rnd = random.Random(13)
+    parts = {"aa": ["the", "ing"], "bb": ["der", "sch"]}
+    rows = [(None if k % 3 else 5, syllables(rnd, parts[lang], 8), lang) for k in range(400) for lang in [rnd.choice(["aa", "bb"])]]
+    df = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, lang string")
+    names = {language_id.train(df.repartition(n)).name for n in (1, 3, 7)}
+    assert len(names) == 1
 
 
 def naive(text):
