@@ -16,16 +16,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import documents, slices, without_reserved
+from causeway.llm.common import documents, mapped, slices, without_reserved
 
 BLOCK_BYTES = 8 << 20
 #: Bucket of the rows that hold a block's positions.
@@ -95,24 +95,30 @@ def _buckets_again(first: np.ndarray, sizes: np.ndarray, buckets: int) -> np.nda
 
 def _block_rows(rows: pa.RecordBatch, pattern, buckets: int) -> Iterator[tuple]:
     """The mid rows of one block."""
-    texts = [x or "" for x in rows.column("_text").to_pylist()]
-    split = [pattern.findall(x) for x in texts]
-    counts = Counter()
-    for x in split:
-        counts.update(x)
-    words, bucket, first, sizes = _numbered(counts, buckets)
-    number = dict(zip(words, range(len(words))))
-    flat = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.uint32, sum(map(len, split)))
+    # Words become numbers text by text, as they are first seen: a list of all words of a block would be many times its text.
+    seen: dict[str, int] = defaultdict(count().__next__)
+    split = []
+    digest = hashlib.md5(usedforsecurity=False)
+    for k in range(rows.num_rows):
+        text = rows.column("_text")[k].as_py() or ""
+        digest.update(text.encode("utf-8", "replace"))
+        own = pattern.findall(text)
+        split.append(np.fromiter(map(seen.__getitem__, own), np.uint32, len(own)))
     lengths = np.fromiter(map(len, split), np.uint32, len(split))
+    flat = np.concatenate(split)
+    del split
+    often = np.bincount(flat, minlength=len(seen))
+    words, bucket, first, sizes = _numbered(Counter(dict(zip(seen, often.tolist()))), buckets)
+    number = np.empty(len(words), np.uint32)
+    number[np.fromiter(map(seen.__getitem__, words), np.int64, len(words))] = np.arange(len(words), dtype=np.uint32)
+    flat = number[flat]
     others = [n for n in rows.schema.names if n != "_text"]
     carried = pa.RecordBatch.from_arrays([rows.column(n) for n in others], names=others)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, carried.schema) as w:
         w.write_batch(carried)
     head = sink.getvalue().to_pybytes()
-    digest = hashlib.md5(head, usedforsecurity=False)
-    for x in texts:
-        digest.update(x.encode("utf-8", "replace"))
+    digest.update(head)
     block = digest.hexdigest()
     yield block, POSITIONS, int(block[:7], 16) % buckets, _packed(head, lengths, flat, first, sizes, level=9)
     order = np.argsort(bucket, kind="stable")
@@ -127,6 +133,7 @@ def _single_piece(table, pattern: str, name: str):
     import tiktoken
 
     if name not in _encoders:
+        _encoders.clear()
         _encoders[name] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table.value, special_tokens={})._encode_single_piece
     return _encoders[name]
 
@@ -245,10 +252,10 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, te
             columns = [c.combine_chunks() for c in rows.columns] + [pa.array(n, pa.int64())] + [pa.array(out[0], pa.list_(pa.int32()))] * keep_ids + [pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
             yield from pa.Table.from_arrays(columns, names=[x for x, _ in out_fields]).to_batches(max_chunksize=500)
 
-    mid = docs.mapInArrow(split, MID_DDL)
+    mid = docs.transform(mapped, split, MID_DDL)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    mid = mid.repartition(n, "_to").sortWithinPartitions("_to", "_bucket").mapInArrow(encode, MID_DDL)
-    return mid.repartition(n, "_block").sortWithinPartitions("_block").mapInArrow(assemble, ddl)
+    mid = mid.repartition(n, "_to").sortWithinPartitions("_to", "_bucket").transform(mapped, encode, MID_DDL)
+    return mid.repartition(n, "_block").sortWithinPartitions("_block").transform(mapped, assemble, ddl)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from causeway.llm.common import sortable_id, without_reserved, written, NULL_ID
+from causeway.llm.common import NULL_ID, mapped, sortable_id, without_reserved, written
 from causeway.llm.components import components
 
 #: Pivots grow with the root of the number of vectors, within these bounds, so lists grow with the root, too.
@@ -129,7 +129,7 @@ def near_duplicate_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str =
             home = np.where(dense[perm[:, 0]], perm[:, 0], -1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column("_rep"), part.column("_m"), pa.array(home), pa.array(list(perm), pa.list_(pa.int32())), pa.array([v.tobytes() for v in x], pa.binary())], names=["_rep", "_m", "_home", "_perm", "_v"])
 
-    indexed = written(classes.mapInArrow(describe, "_rep bigint, _m bigint, _home int, _perm array<int>, _v binary"), "vector-index")
+    indexed = written(classes.transform(mapped, describe, "_rep bigint, _m bigint, _home int, _perm array<int>, _v binary"), "vector-index")
     lists = indexed.select("*", F.explode("_perm").alias("_p"))
     # Chunks hold vectors of one home. A list has a row for each home in it; its chunks are numbered home by home.
     sizes = lists.groupBy("_p", "_home").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("_chunks"))

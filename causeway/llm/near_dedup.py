@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import documents, slices, text_or_empty, without_reserved, written
+from causeway.llm.common import documents, handed_back, mapped, slices, text_or_empty, without_reserved, written
 from causeway.llm.components import components
 from causeway.llm.textkit import mix, shingles, words
 
 BANDS, ROWS, SLOTS = 21, 6, 128
 THRESHOLD = 0.8
-BYTES = 2 << 20
+BYTES = 1 << 20
 #: Texts on one side of a block, and columns of its matrices at a time.
 CHUNK, COLUMNS = 256, 1 << 14
 _G1, _G2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -172,6 +172,8 @@ def _block(threshold: float):
         # Members of one component count as linked: one link between two components is enough.
         ids, first = part["_id"].to_numpy(), forest(linked)
         on = first != np.arange(len(part))
+        del bag_of, part
+        handed_back()
         return pd.DataFrame({"a": ids[first[on]], "b": ids[on]})
 
     return block
@@ -200,7 +202,7 @@ def _led(buckets: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, z: DataFrame, threshold: float) -> DataFrame:
     with_b = pairs.join(z.select(F.col("_id").alias("b"), F.col("_z").alias("_zb")), "b")
     with_both = with_b.join(z.select(F.col("_id").alias("a"), F.col("_z").alias("_za")), "a").sortWithinPartitions("a")
-    return with_both.select("a", "b", "_za", "_zb").mapInArrow(_verify, "a bigint, b bigint, similarity double").where(F.col("similarity") >= threshold).select("a", "b")
+    return with_both.select("a", "b", "_za", "_zb").transform(mapped, _verify, "a bigint, b bigint, similarity double").where(F.col("similarity") >= threshold).select("a", "b")
 
 
 def _blocks(labelled: DataFrame) -> DataFrame:
@@ -232,7 +234,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     an id are compared with nothing and have a null class. An empty table gives an empty result.
     """
     docs = without_reserved(docs).select(F.col(doc_id).cast("long").alias("_id"), text_or_empty(text).alias("_text"))
-    signed = written(docs.mapInArrow(_sign, SIG_DDL), "near-signatures")
+    signed = written(docs.transform(mapped, _sign, SIG_DDL), "near-signatures")
     known = signed.where("_n > 0 AND _id IS NOT NULL")
     same = written(known.groupBy("_f1", "_f2").agg(F.min("_id").alias("_rep")), "near-classes")
     member = written(known.select("_id", "_f1", "_f2").join(same, ["_f1", "_f2"]).select("_id", "_rep").distinct(), "near-members")
@@ -242,7 +244,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     buckets = written(buckets.join(shared, ["_band", "_key"], "left_semi"), "near-buckets")
     # The texts of all candidates are moved once. A merge join at every size: a broadcast would do for small tables only.
     needed = buckets.select("_id").distinct().hint("merge")
-    z = written(docs.where("_id IS NOT NULL").mapInArrow(_squeeze, "_id bigint, _z binary").join(needed, "_id", "left_semi"), "near-texts")
+    z = written(docs.where("_id IS NOT NULL").transform(mapped, _squeeze, "_id bigint, _z binary").join(needed, "_id", "left_semi"), "near-texts")
     # A document that shares an id with another class links the classes.
     links = member.where("_id <> _rep").select(F.col("_rep").alias("a"), F.col("_id").alias("b"))
     near = written(_verified(_led(buckets), z, threshold), "near-links")

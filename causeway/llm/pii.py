@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm.common import documents, slices, text_or_empty, without_reserved
+from causeway.llm.common import documents, mapped, slices, text_or_empty, without_reserved
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -305,7 +305,7 @@ def find_pii(docs: DataFrame, text: str = "text", digests: bool = False) -> Data
             columns += [pa.array(spans, pa.list_(SPAN)), *(pa.array(x, pa.int64() if n[:2] == "n_" else pa.string()) for n, x in zip(extra, digest))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(find, ddl)
+    return docs.transform(mapped, find, ddl)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from causeway.llm.common import documents, slices, sortable_id, text_or_empty, without_reserved, written
+from causeway.llm.common import documents, mapped, slices, sortable_id, text_or_empty, without_reserved, written
 from causeway.llm.textkit import RangeHash, mix, window_argmin
 
 LENGTH, SEED, HALF = 100, 40, 70
@@ -205,7 +205,7 @@ def repeated_strings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     """
     raw = text_or_empty(text)
     keyed = without_reserved(docs).select(F.col(doc_id).alias("doc_id"), sortable_id(doc_id).alias("_id"), F.pmod(F.xxhash64(raw), F.lit(1 << TAG_BITS)).alias("_tag"), raw.alias("_text"))
-    anchors = keyed.select("_id", "_tag", "_text").mapInArrow(_anchors, MID_DDL)
+    anchors = keyed.select("_id", "_tag", "_text").transform(mapped, _anchors, MID_DDL)
     seed = Window.partitionBy("_g")
     ranked = _first_of(anchors, ("_lo", F.min("_b").over(seed)), ("_hi", F.max("_b").over(seed)))
     ends = (F.col("_lo") != F.col("_hi")) & ~F.col("_again")
@@ -214,15 +214,15 @@ def repeated_strings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     key = [F.col("_id") == F.col("_id_r"), F.col("_tag") == F.col("_tag_r")]
     ids = [(f.name, f.dataType.simpleString()) for f in keyed.schema.fields if f.name != "_text"]
     z_ddl = ", ".join(f"{n} {t}" for n, t in [*ids, ("_z", "binary")])
-    squeezed = keyed.mapInArrow(_squeeze, z_ddl)
+    squeezed = keyed.transform(mapped, _squeeze, z_ddl)
     asked = squeezed.join(_by_document(ranked.where("_ask")), key).dropDuplicates(["_id", "_tag"]).select("_id", "_tag", "_z", "_runs")
     here, same = F.struct("_id", "_at"), Window.partitionBy("_g", "_b")
-    halves = asked.mapInArrow(_halves, HALF_DDL).withColumns({"_lo": F.min(here).over(same), "_hi": F.max(here).over(same)}).where("_lo <> _hi").select("_id", "_at", "_n", "_s")
-    strings = _first_of(halves.mapInArrow(_strings, MID_DDL)).where("_n < 0 OR _later").select("_id", "_at", "_n")
+    halves = asked.transform(mapped, _halves, HALF_DDL).withColumns({"_lo": F.min(here).over(same), "_hi": F.max(here).over(same)}).where("_lo <> _hi").select("_id", "_at", "_n", "_s")
+    strings = _first_of(halves.transform(mapped, _strings, MID_DDL)).where("_n < 0 OR _later").select("_id", "_at", "_n")
     repeats = ranked.where("NOT _ask").select("_id", "_at", "_n").unionByName(strings).withColumn("_n", F.when(F.col("_n") < 0, -F.col("_n")).otherwise(F.col("_n").bitwiseAND(N_MASK)))
     out = squeezed.join(_by_document(repeats), key, "left").select("doc_id", "_z", "_runs")
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    return out.mapInArrow(_cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, removed array<struct<start: bigint, end: bigint>>, kept binary, kept_sha256 string")
+    return out.transform(mapped, _cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, removed array<struct<start: bigint, end: bigint>>, kept binary, kept_sha256 string")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,8 @@ import numpy as np
 
 #: A word is a run of ASCII letters and digits (lower case) and of bytes outside ASCII.
 _WORD = np.array([chr(b).isalnum() and b < 128 or b >= 128 for b in range(256)], bool)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BASE2 = np.uint64(0xC2B2AE3D27D4EB4F)
-_INVERSE2 = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
+_BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_INVERSE, _INVERSE2 = (pow(b, -1, 1 << 64) for b in (_BASE, _BASE2))
 SHINGLE = 5
 
 
@@ -25,40 +23,43 @@ def _bytes_table(seed: int) -> np.ndarray:
 
 
 _TABLES = {False: _bytes_table(1), True: _bytes_table(2)}
-_powers: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
+_LOW = 1 << 12
 
 
-def _power(second: bool, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of the base and of its inverse modulo 2^64; kept up to 16 M."""
-    if second not in _powers or len(_powers[second][0]) <= n:
-        base, inverse = (_BASE2, _INVERSE2) if second else (_BASE, _INVERSE)
-        made = []
-        for b in (base, inverse):
-            p = np.full(n + 1, b, np.uint64)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
-        if n > 1 << 24:
-            return tuple(made)
-        _powers[second] = tuple(made)
-    return _powers[second]
+def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``base`` modulo 2^64 below n, as factors: the power i is high[i >> 12] * low[i & 4095]. A few KB at any n."""
+    made = []
+    for step, count in ((base, _LOW), (pow(base, _LOW, 1 << 64), n // _LOW + 1)):
+        p = np.full(count, step, np.uint64)
+        p[0] = 1
+        made.append(np.multiply.accumulate(p))
+    return made[1], made[0]
+
+
+def _first_powers(power: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    high, low = power
+    return (high[: n // _LOW + 1, None] * low[None, :]).ravel()[:n]
 
 
 class RangeHash:
     """Hashes of any stretches [a, b) of some bytes or 64-bit values, equal for equal stretches wherever they stand."""
 
     def __init__(self, data: np.ndarray, second: bool = False):
-        power, self.inverse = _power(second, len(data))
+        base, inverse = (_BASE2, _INVERSE2) if second else (_BASE, _INVERSE)
+        self.inverse = _power(inverse, len(data))
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        values = _TABLES[second][data] if data.dtype == np.uint8 else data
-        np.cumsum(values * power[: len(data)], out=self.sums[1:])
+        values = _first_powers(_power(base, len(data)), len(data))
+        values *= _TABLES[second][data] if data.dtype == np.uint8 else data
+        np.cumsum(values, out=self.sums[1:])
 
     def every(self, width: int) -> np.ndarray:
         """The hashes of all stretches of one width, by start: as calling it, without the gathers."""
         n = len(self.sums) - width
-        return mix((self.sums[width:] - self.sums[:n]) * self.inverse[:n] + np.uint64(width))
+        return mix((self.sums[width:] - self.sums[:n]) * _first_powers(self.inverse, n) + np.uint64(width))
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((self.sums[b] - self.sums[a]) * self.inverse[a] + (b - a).astype(np.uint64))
+        high, low = self.inverse
+        return mix((self.sums[b] - self.sums[a]) * high[a >> 12] * low[a & (_LOW - 1)] + (b - a).astype(np.uint64))
 
 
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
