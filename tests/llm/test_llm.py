@@ -427,6 +427,29 @@ def test_vectors(spark):
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_all_kinds(spark):
+    """Two lengths, extreme magnitudes, repeated and null ids, all against brute force over the rows."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for d, n in ((16, 120), (2, 40)):
+        x = rng.standard_normal((n, d))
+        x[n // 2 :] = x[: n - n // 2] + 0.1 * rng.standard_normal((n - n // 2, d))
+        rows += [(1000 * d + k, v) for k, v in enumerate(x)]
+    rows += [(1, np.array([1e-200, 0.0])), (2, np.array([1e200, 0.0])), (3, np.array([1e200, 1e200])), (4, np.array([5e-324, 5e-324])), (7, np.eye(16)[0]), (7, np.eye(16)[1]), (8, np.eye(16)[0]), (None, np.eye(16)[2]), (None, np.eye(16)[3]), (9, np.eye(16)[3]), (None, np.eye(16)[2])]
+    unit = [v / np.abs(v).max() for _, v in rows]
+    unit = [v / np.linalg.norm(v) for v in unit]
+    linked = np.array([[i != j and len(a) == len(b) and a @ b >= 0.9 for j, b in enumerate(unit)] for i, a in enumerate(unit)])
+    label = embedding_dedup._forest(linked)
+    names = {c: min((rows[i][0] for i in np.flatnonzero(label == c) if rows[i][0] is not None), default=None) for c in set(label)}
+    df = spark.createDataFrame([(i, v.tolist(), k) for k, (i, v) in enumerate(rows)], "vec_id long, embedding array<double>, place int")
+    got = {r.place: r for r in embedding_dedup.near_duplicate_vectors(df).collect()}
+    assert len(got) == len(rows)
+    found = sum(got[k].n_links for k in range(len(rows)))
+    assert all(got[k].n_links <= linked[k].sum() for k in got) and found >= 0.98 * linked.sum()
+    assert all(got[k].component_id == names[label[k]] and got[k].kept == (rows[k][0] == names[label[k]]) for k in range(len(rows) - 11, len(rows)))
+    assert [got[k].n_links for k in range(len(rows) - 7, len(rows))] == [1, 0, 1, 1, 1, 1, 1]
+
+
 def test_vectors_of_a_dense_group(spark):
     """A third of the rows are near copies of one vector: their pairs are found like any other."""
     rng = np.random.default_rng(4)
