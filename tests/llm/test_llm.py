@@ -394,6 +394,28 @@ def test_passage_with_changes(spark):
     assert any(r.start_word <= 45 and r.end_word >= 155 for r in got)
 
 
+@pytest.mark.parametrize("fragment", [0, 10, 20, 30])
+def test_changed_passages_behind_fragments(spark, fragment):
+    """Pairs of passages with one word changed, parts of which earlier documents hold: found whatever these are, at any split."""
+    rnd = random.Random(20 + fragment)
+    rows, want = [], set()
+    for k in range(50):
+        passage = prose(rnd, 60, 5000).split()
+        at = rnd.randrange(61 - fragment)
+        rows += [(1000 * e + k, f"{prose(rnd, 70, 5000)} {' '.join(passage[at : at + fragment])} {prose(rnd, 70, 5000)}") for e in (0, 1)]
+        changed = list(passage)
+        changed[rnd.randrange(60)] = "changed"
+        a, b = (Counter(zip(*(x[i:] for i in range(5)))) for x in (passage, changed))
+        if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+            want.add((5000 + k, 2000 + k))
+        rows += [(i, f"{prose(rnd, 50, 5000)} {' '.join(x)} {prose(rnd, 50, 5000)}") for i, x in ((2000 + k, passage), (5000 + k, changed))]
+    got = [sorted(tuple(r) for r in passage_dedup.repeated_passages(spark.createDataFrame(spark.sparkContext.parallelize(rnd.sample(rows, len(rows)), parts), "doc_id long, text string")).collect()) for parts in (1, 5)]
+    assert got[0] == got[1]
+    found = {(r[0], r[3]) for r in got[0]}
+    assert len(want) >= 45 and len(want & found) >= 0.9 * len(want), len(want & found) / len(want)
+    assert found <= want | {(5000 + k, 2000 + k) for k in range(50)}
+
+
 def test_passage_twice_in_one_document(spark):
     """Both places are whole, wherever the earlier copy lies."""
     rnd = random.Random(10)
