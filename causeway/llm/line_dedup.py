@@ -1,51 +1,62 @@
 """Line deduplication by winnowing over line hashes.
 
-In every window of ``run`` lines the line with the smallest hash is the window's fingerprint, so any
-repeated run of that many lines is guaranteed to share one. Positions of fingerprints are joined by
-hash, and those that occur once are dropped with their windows. What is left is extended both ways:
-each window around a shared fingerprint, with the lines before and after it, is compared with the
-first place in the corpus that has the same lines; windows that come later are merged into maximal
-runs, and these runs are deleted.
-
-Groups (a fingerprint, a window) are aggregated before they meet the positions again, and those joins
-have a unique side, so a line in a third of all documents is split like any other.
+In every window of ``run`` lines the line with the smallest hash is selected, so any repeated run of that
+many lines is guaranteed to share one. The selected lines are the fingerprints; there is a row for each
+position of one, with the hashes of the ``run`` - 1 lines before and after it. Positions whose fingerprint
+occurs once are dropped. The others are joined with the first position in the corpus that has the same
+fingerprint and the same neighbours, for each way in which a run can lie around it. Every match is then
+extended both ways, line by line, as far as the two places agree: within a longer common run fingerprints
+lie at most ``run`` lines apart, so their extensions overlap and cover it. The later of the two places is
+deleted; overlapping extensions are merged into maximal runs.
+
+Groups (a fingerprint, a fingerprint with neighbours) are aggregated before they meet the positions again,
+and those joins have a unique side, so a line in a third of all documents is split like any other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from causeway.llm.common import documents, sortable_id, text_or_empty, without_reserved, written
 
 
-def _windows(docs: DataFrame, text: str, doc_id: str, run: int) -> DataFrame:
-    """A row for each window of ``run`` lines that are not all blank: its place, its fingerprint's hash, two hashes of its lines."""
+def _positions(docs: DataFrame, text: str, doc_id: str, run: int) -> DataFrame:
+    """A row for each fingerprint's position: its place, its hash, and those of the lines before (nearest first) and after it. A hash is odd if its line is blank."""
     lines = docs.select(sortable_id(doc_id).alias("_id"), F.xxhash64(text_or_empty(text)).alias("_t"), F.split(text_or_empty(text), "\n").alias("_lines"))
-    lines = lines.where(F.size("_lines") >= run).withColumn("_h", F.transform("_lines", lambda x: F.xxhash64(x)))
-    at = lines.select("_id", "_t", F.posexplode(F.expr(f"""
-        transform(sequence(0, size(_lines) - {run}), s -> struct(
-            s + array_position(slice(_h, s + 1, {run}), array_min(slice(_h, s + 1, {run}))) - 1 AS i,
-            array_min(slice(_h, s + 1, {run})) AS fp,
-            array_join(slice(_lines, s + 1, {run}), '\n') AS w))""")).alias("_s", "_x"))
-    at = at.where(F.length(F.translate("_x.w", " \n", "")) > 0)
-    return at.select("_id", "_t", F.col("_s").cast("long").alias("_s"), (F.col("_x.i") == F.col("_s")).alias("_first"), F.col("_x.fp").alias("_fp"), F.xxhash64("_x.w").alias("_w1"), F.xxhash64(F.lit(run), "_x.w").alias("_w2"))
+    lines = lines.where(F.size("_lines") >= run).select("_id", "_t", F.expr("transform(_lines, x -> (xxhash64(x) & -2L) | cast(length(translate(x, ' ', '')) = 0 AS bigint))").alias("_h"))
+    selected = F.expr(f"array_distinct(transform(sequence(0, size(_h) - {run}), s -> s + array_position(slice(_h, s + 1, {run}), array_min(slice(_h, s + 1, {run}))) - 1))")
+    at = lines.select("_id", "_t", "_h", F.explode(selected).alias("_i"))
+    before = f"reverse(slice(_h, cast(greatest(_i - {run - 1}, 0) + 1 AS int), cast(least(_i, {run - 1}) AS int)))"
+    return at.select("_id", "_t", F.col("_i").cast("long").alias("_i"), F.expr("_h[cast(_i AS int)]").alias("_fp"), F.expr(before).alias("_back"), F.expr(f"slice(_h, cast(_i + 2 AS int), {run - 1})").alias("_fore"))
+
+
+def _common(a: str, b: str) -> Column:
+    """How many leading elements of two arrays agree."""
+    n = f"least(size({a}), size({b}))"
+    return F.expr(f"if({n} > 0, size(filter(sequence(1, {n}), n -> slice({a}, 1, n) = slice({b}, 1, n))), 0)")
 
 
 def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run: int = 2) -> DataFrame:
     """(_id, _t, runs): per document with repeats, its maximal runs of repeated lines as sorted structs (a, b) of line numbers from 0, both included."""
-    windows = written(_windows(docs, text, doc_id, run), "line-windows")
-    # A fingerprint that is picked by several windows in a row is one position; a window starts a new one
-    # at its own first line or where the pick moves, so places are told apart by (document, line).
-    shared = windows.groupBy("_fp").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_fp").alias("_fp_s"))
+    positions = written(_positions(docs, text, doc_id, run), "line-positions")
+    shared = positions.groupBy("_fp").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_fp").alias("_fp_s"))
     # Groups are written before they are joined: with an exchange on either side AQE can split a hot one.
-    kept = windows.join(written(shared, "line-fingerprints"), F.col("_fp") == F.col("_fp_s"), "left_semi")
-    first = kept.groupBy("_w1", "_w2").agg(F.min(F.struct("_id", "_t", "_s")).alias("_at"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    first = written(first.select(F.col("_w1").alias("_f1"), F.col("_w2").alias("_f2"), "_at"), "line-firsts")
-    later = kept.join(first, (F.col("_w1") == F.col("_f1")) & (F.col("_w2") == F.col("_f2"))).where(F.struct("_id", "_t", "_s") > F.col("_at"))
+    kept = positions.join(written(shared, "line-fingerprints"), F.col("_fp") == F.col("_fp_s"), "left_semi")
+    ways = F.expr(f"filter(transform(sequence(0, {run - 1}), o -> struct(o AS o, concat(slice(_back, 1, o), array(_fp), slice(_fore, 1, {run - 1} - o)) AS w)), x -> size(x.w) = {run} AND exists(x.w, h -> h % 2 = 0))")
+    keyed = kept.withColumn("_way", F.explode(ways)).withColumns({"_o": F.col("_way.o"), "_w": F.xxhash64("_way.w")}).drop("_way")
+    here = F.struct("_id", "_t", "_i")
+    first = keyed.groupBy("_fp", "_o", "_w").agg(F.min(F.struct("_id", "_t", "_i", "_back", "_fore")).alias("_q"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    first = written(first.select(F.col("_fp").alias("_f1"), F.col("_o").alias("_f2"), F.col("_w").alias("_f3"), F.struct("_q._id", "_q._t", "_q._i").alias("_at"), F.col("_q._back").alias("_qb"), F.col("_q._fore").alias("_qf")), "line-firsts")
+    later = keyed.join(first, (F.col("_fp") == F.col("_f1")) & (F.col("_o") == F.col("_f2")) & (F.col("_w") == F.col("_f3"))).where(here > F.col("_at"))
+    later = later.withColumns({"_up": _common("_back", "_qb"), "_down": _common("_fore", "_qf")}).where(F.col("_up") + F.col("_down") + 1 >= run)
+    # The extension as its windows of ``run`` lines; those of blank lines alone stay.
+    later = later.withColumn("_ext", F.expr("concat(reverse(slice(_back, 1, _up)), array(_fp), slice(_fore, 1, _down))"))
+    starts = F.expr(f"filter(sequence(0, size(_ext) - {run}), s -> exists(slice(_ext, s + 1, {run}), h -> h % 2 = 0))")
+    later = later.select("_id", "_t", (F.col("_i") - F.col("_up")).alias("_from"), F.explode(starts).alias("_s")).withColumn("_s", F.col("_from") + F.col("_s"))
     place = Window.partitionBy("_id", "_t").orderBy("_s")
-    later = later.select("_id", "_t", "_s").withColumn("_new", (F.col("_s") > F.coalesce(F.lag("_s").over(place), F.lit(-1 - run)) + run).cast("int"))
+    later = later.withColumn("_new", (F.col("_s") > F.coalesce(F.lag("_s").over(place), F.lit(-1 - run)) + run).cast("int"))
     later = later.withColumn("_run", F.sum("_new").over(place.rowsBetween(Window.unboundedPreceding, 0)))
     runs = later.groupBy("_id", "_t", "_run").agg(F.min("_s").alias("a"), (F.max("_s") + run - 1).alias("b"))
     return runs.groupBy("_id", "_t").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"))

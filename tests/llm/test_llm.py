@@ -89,6 +89,16 @@ def test_lines(docs, empty, run):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_lines_need_their_fingerprints(spark, monkeypatch):
+    """Runs come out of the fingerprints' positions: without these nothing is found; blank lines within and around runs do no harm."""
+    rows = [(1, "a\nb\n\n\nc\nd\ne"), (2, "x\na\nb\n\n\nc\ny"), (3, "\n\n\nd\ne\n"), (4, "c\nd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in line_dedup.line_dedup(df).collect()} == {1: 0, 2: 5, 3: 2, 4: 2}
+    positions = line_dedup._positions
+    monkeypatch.setattr(line_dedup, "_positions", lambda *a: positions(*a).where("false"))
+    assert {r.n_removed for r in line_dedup.line_dedup(df).collect()} == {0}
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count() and all(0 <= r.p <= 1 for r in got)
