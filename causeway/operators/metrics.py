@@ -132,6 +132,32 @@ def hop_accuracy(predicted: Column, gold: Column) -> Column:
     return F.when(F.size(gold) == 0, (F.size(predicted) == 0).cast("double")).otherwise(_div(right, F.size(gold)))
 
 
+def path_metrics_v6(predicted: Column, gold: Column, predicted_events: Column, gold_events: Column) -> dict[str, Column]:
+    """Nine metrics of a path (arrays of edges, and of the events on it); all null where gold has no edges."""
+    p, g = _array(predicted), _array(gold)
+    edge, event = set_metrics_v6(p, g), set_metrics_v6(predicted_events, gold_events)
+    out = {"exact_path_accuracy": (p == g).cast("double"), "hop_accuracy": hop_accuracy(p, g)} | {f"path_edge_{k}": edge[k] for k in ("precision", "recall", "f1")}
+    out |= {"path_length_accuracy": (F.size(p) == F.size(g)).cast("double")} | {f"path_event_{k}": event[k] for k in ("precision", "recall", "f1")}
+    return {k: F.when(F.size(g) > 0, v) for k, v in out.items()}
+
+
+def path_rule_metrics_v7(predicted: Column, gold: Column) -> dict[str, Column]:
+    """Of the rules along a path: P/R/F1 and whether the sequences are equal."""
+    seven = set_metrics_v7(predicted, gold)
+    return {f"path_rule_{k}": seven[k] for k in ("precision", "recall", "f1")} | {"exact_rule_path": (_array(predicted) == _array(gold)).cast("double")}
+
+
+def best_path(rows: DataFrame, key: str) -> DataFrame:
+    """Of each ``key`` the predicted path that is best by (exact, edge F1, node F1, rule F1, final event, smaller rank).
+
+    rows: rank, nodes, rules, gold_nodes, gold_rules, a row for each path. Floats are compared to nine digits.
+    """
+    m = path_metrics_v7(F.col("nodes"), F.col("gold_nodes")) | path_rule_metrics_v7(F.col("rules"), F.col("gold_rules"))
+    parts = {"exact_path": m["exact_path"], "edge_f1": F.round(m["edge_f1"], 9), "node_f1": F.round(m["node_f1"], 9), "path_rule_f1": F.round(m["path_rule_f1"], 9), "final_event": m["final_event"], "_back": -F.col("rank")}
+    best = rows.select(key, F.struct(*(c.alias(n) for n, c in parts.items())).alias("_b")).groupBy(key).agg(F.max("_b").alias("_b"))
+    return best.select(key, (-F.col("_b._back")).cast("long").alias("rank"), *(F.col(f"_b.{n}").alias(n) for n in parts if n != "_back"))
+
+
 def path_metrics_v7(predicted: Column, gold: Column) -> dict[str, Column]:
     """Of node arrays: node and edge P/R/F1, final event, exact match."""
     p, g = _array(predicted), _array(gold)
@@ -141,24 +167,76 @@ def path_metrics_v7(predicted: Column, gold: Column) -> dict[str, Column]:
     return out | {"final_event": last, "exact_path": (p == g).cast("double")}
 
 
+# The codes of both generations, in order.
+CODES_V6 = ["RULE_RETRIEVAL_MISS", "EVENT_RETRIEVAL_MISS", "PATH_MISMATCH", "VERIFICATION_ERROR", "LOW_ANSWER_F1", "CITATION_MISS"]
+CODES_V7 = ["MISSED_GOLD_RULE", "TOP1_PATH_MISMATCH", "COUNTERFACTUAL_STATUS_MISMATCH", "REACHABILITY_MISMATCH", "ANSWER_LABEL_MISMATCH", "LOW_ANSWER_TOKEN_F1"]
+MISSING_PREDICTION, PIPELINE_ERROR = "MISSING_PREDICTION", "PIPELINE_ERROR"
+
+
+def _codes(names: list[str], wrong: list[Column]) -> Column:
+    return F.array_compact(F.array(*(F.when(F.coalesce(w, F.lit(False)), F.lit(n)) for n, w in zip(names, wrong, strict=True))))
+
+
 def errors_v6(row: dict[str, Column]) -> Column:
-    """Codes, in order; a question without a prediction has one of its own."""
-    codes = {"RULE_RETRIEVAL_MISS": row["rule_recall"] < 1, "EVENT_RETRIEVAL_MISS": row["event_recall"] < 1, "PATH_MISMATCH": F.coalesce(row["exact_path"] < 1, F.lit(False)), "VERIFICATION_ERROR": row["verification_correct"] < 1, "LOW_ANSWER_F1": row["answer_f1"] < 0.5, "CITATION_MISS": row["citation_recall"] < 1}
-    found = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in codes.items())))
-    return F.when(row["missing"], F.array(F.lit("MISSING_PREDICTION"))).otherwise(found)
+    """Codes, in order; a question without a prediction has one of its own. Recalls are those at the primary k."""
+    wrong = [row["rule_recall"] < 1, row["event_recall"] < 1, row["exact_path"] < 1, row["verification_correct"] < 1, row["answer_f1"] < 0.5, row["citation_recall"] < 1]
+    return F.when(row["missing"], F.array(F.lit(MISSING_PREDICTION))).otherwise(_codes(CODES_V6, wrong))
+
+
+def primary_k(ks: tuple[int, ...] = KS) -> int:
+    return 5 if 5 in ks else max(ks)
+
+
+def errors_v7(row: dict[str, Column]) -> Column:
+    """Codes, in order; a failed question has one of its own. Accuracies that are null (no gold) are no errors."""
+    absent = lambda c: F.coalesce(c, F.lit(0.0))
+    wrong = [absent(row["rule_recall"]) < 1, absent(row["top1_exact_path"]) < 1, row["cf_status_accuracy"] < 1, row["reachability_accuracy"] < 1, row["answer_label_accuracy"] < 1, absent(row["answer_f1"]) < 0.5]
+    return F.when(~row["successful"], F.array(F.lit(PIPELINE_ERROR))).otherwise(_codes(CODES_V7, wrong))
+
+
+def label_accuracy_v7(predicted: Column, gold: Column) -> Column:
+    """Null where there is no gold."""
+    return F.when(gold.isNotNull(), F.coalesce(predicted == gold, F.lit(False)).cast("double"))
+
+
+def error_rows(rows: DataFrame, errors: str, key: str) -> DataFrame:
+    """(error, key): whom each code befell, as rows."""
+    return rows.select(F.explode(errors).alias("error"), key)
 
 
 def error_report(rows: DataFrame, errors: str, key: str) -> DataFrame:
-    return rows.select(key, F.explode(errors).alias("error")).groupBy("error").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x.cast("string")), ",").alias("ids"))
+    """Of each code how often it occurs and its first and last key; ``error_rows`` has them all."""
+    return error_rows(rows, errors, key).groupBy("error").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first_id"), F.max(key).alias("last_id"))
+
+
+def unmatched(gold: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
+    """(key, side): ids that only one of the two tables has, 'missing' (gold only) or 'unexpected' (predictions only)."""
+    g, p = gold.select(key).distinct(), predictions.select(key).distinct()
+    return g.join(p, key, "left_anti").withColumn("side", F.lit("missing")).unionByName(p.join(g, key, "left_anti").withColumn("side", F.lit("unexpected")))
+
+
+def percentage(x: Column) -> Column:
+    """12.34%, or N/A for what is no finite number."""
+    return F.when(finite(x).isNull(), "N/A").otherwise(F.format_string("%.2f%%", F.bround(x * 100, 2)))
+
+
+def finite(x: Column, digits: int | None = None) -> Column:
+    """A number of a report: rounded if ``digits`` are given; NaN and infinite ones are null."""
+    y = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    return y if digits is None else F.round(y, digits)
+
+
+# The labels that a confusion matrix always has.
+LABELS = ["SUPPORTED", "REJECT_DIRECT_CLAIM", "UNCERTAIN", "MISSING"]
 
 
 def confusion(rows: DataFrame, gold: str, predicted: str) -> DataFrame:
-    """A row for each gold and predicted label, the usual ones always; blanks are MISSING."""
-    spark = rows.sparkSession
+    """A row for each pair of a gold and a predicted label; blanks are MISSING. The usual labels are always there, others that occur extend both sides."""
     label = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", "MISSING").otherwise(F.col(c))
     counts = rows.select(label(gold).alias("gold"), label(predicted).alias("predicted")).groupBy("gold", "predicted").agg(F.count(F.lit(1)).alias("n"))
-    usual = spark.createDataFrame([(x,) for x in ("SUPPORTED", "REJECT_DIRECT_CLAIM", "UNCERTAIN", "MISSING")], "label string")
-    grid = usual.select(F.col("label").alias("gold"), F.explode(F.array(*(F.lit(x) for x in ("SUPPORTED", "REJECT_DIRECT_CLAIM", "UNCERTAIN", "MISSING")))).alias("predicted"), F.lit(0).cast("bigint").alias("n"))
+    both = F.array_union(F.flatten(F.collect_list(F.array("gold", "predicted"))), F.array(*(F.lit(x) for x in LABELS)))
+    labels = counts.agg(both.alias("l"))  # of the counts: as many as there are pairs of labels
+    grid = labels.select(F.explode("l").alias("gold"), "l").select("gold", F.explode("l").alias("predicted"), F.lit(0).cast("bigint").alias("n"))
     return counts.unionByName(grid).groupBy("gold", "predicted").agg(F.sum("n").alias("n"))
 
 
@@ -183,3 +261,14 @@ def grouped_report(rows: DataFrame, metrics: list[str], *by: str) -> DataFrame:
     level = "CASE " + " ".join(f"WHEN grouping({c}) = 0 THEN '{c}'" for c in by) + " ELSE 'all' END AS level"
     value = "coalesce(" + ", ".join(f"CASE WHEN grouping({c}) = 0 THEN coalesce(nullif(cast({c} AS string), ''), 'UNKNOWN') END" for c in by) + ", 'all') AS value"
     return rows.sparkSession.sql(f"SELECT {level}, {value}, count(*) AS n, {means} FROM {{rows}} GROUP BY GROUPING SETS ({sets})", rows=rows)
+
+
+def macro_v7(rows: DataFrame, metrics: list[str], *by: str) -> DataFrame:
+    """Means over the successful rows, nulls left out: of all rows and of each value of each of ``by``; with counts, and mean and exact median of runtime_seconds."""
+    ok = rows.withColumns({c: F.when(F.col("successful"), F.col(c)) for c in [*metrics, "runtime_seconds"]})
+    sets = "(), " + ", ".join(f"({c})" for c in by)
+    means = "".join(f", avg({m}) AS {m}" for m in metrics)
+    level = "CASE " + " ".join(f"WHEN grouping({c}) = 0 THEN '{c}'" for c in by) + " ELSE 'all' END AS level"
+    value = "coalesce(" + ", ".join(f"CASE WHEN grouping({c}) = 0 THEN coalesce(nullif(cast({c} AS string), ''), 'UNKNOWN') END" for c in by) + ", 'all') AS value"
+    counts = "count(*) AS n, count_if(successful) AS n_successful, count_if(NOT successful) AS n_failed, avg(CAST(successful AS double)) AS success_rate, avg(runtime_seconds) AS mean_runtime, median(runtime_seconds) AS median_runtime"
+    return ok.sparkSession.sql(f"SELECT {level}, {value}, {counts}{means} FROM {{ok}} GROUP BY GROUPING SETS ({sets})", ok=ok)
