@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +18,28 @@ TOO_LITTLE = "Chưa đủ căn cứ từ dữ liệu được cung cấp để t
 NOT_FULL = "Chưa đủ căn cứ từ dữ liệu được cung cấp để đưa ra kết luận đầy đủ."
 NOTHING_FOUND = "Hệ thống không tìm được evidence đã xác minh."
 NO_ADVICE = "Nội dung này không thay thế tư vấn pháp lý chính thức."
-UNNAMED = "không nêu rõ"
+UNNAMED, NOT_GIVEN, NO_EVIDENCE, NO_PATH, NONE_GIVEN = "không nêu rõ", "Không nêu rõ", "Không có evidence pháp lý đạt ngưỡng.", "Không có causal path phù hợp.", "Không có"
+PROMPT = """CÂU HỎI:
+{query}
+
+ĐỘ TIN CẬY TOÀN CỤC:
+- confidence = {confidence}
+- consistency_score = {consistency}
+
+EVIDENCE ĐÃ CHỌN:
+{evidence}
+
+CAUSAL PATH HỖ TRỢ:
+{paths}
+
+YÊU CẦU TRẢ LỜI:
+- Trả lời trực tiếp câu hỏi.
+- Dùng đúng citation [E1], [E2], ... tương ứng với evidence.
+- Không dùng citation không tồn tại.
+- Nếu có nhiều điều kiện hoặc hệ quả, trình bày theo đúng thứ tự logic.
+- Nếu evidence mâu thuẫn hoặc chưa chắc chắn, nêu rõ giới hạn.
+- Không nhắc tới tên file, JSON, pipeline hoặc điểm số kỹ thuật trừ phần “Lưu ý về độ chắc chắn”.
+"""
 
 
 class Generator(Protocol):
@@ -89,16 +111,37 @@ def repaired(answers: DataFrame) -> DataFrame:
     return out.withColumns({"repaired": F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), "citations_used": F.transform(used, lambda x: F.concat(F.lit("E"), x.cast("string"))), "n_invalid": F.size("_bad")}).drop("_bad", "_used", "_text")
 
 
-def contexts(questions: DataFrame, evidence: DataFrame, paths: DataFrame, most: int = CONTEXT_CHARS) -> DataFrame:
-    """(question_id, context): evidence blocks, then path blocks, cut at ``most`` characters."""
-    block = F.concat_ws("\n", F.concat(F.lit("[E"), "evidence_index", F.lit("]")), F.concat(F.lit("- Rule ID: "), "rule_id"), F.concat(F.lit("- Căn cứ: "), article_label(F.col("article_id"), F.col("article_title"))),
-                        F.concat(F.lit("- Điều kiện: "), _or("condition", "Không nêu rõ")), F.concat(F.lit("- Hệ quả pháp lý: "), _or("effect", "Không nêu rõ")), F.concat(F.lit("- Trạng thái xác minh: "), "decision"),
-                        F.format_string("- Verification score: %.4f", "verification_score"))
-    way = F.concat_ws("\n", F.concat(F.lit("[P"), "path_index", F.lit("]")), F.concat(F.lit("- Trạng thái: "), "status"), F.format_string("- Consistency score: %.4f", "consistency"), F.concat(F.lit("- Chuỗi sự kiện: "), F.array_join("nodes", " → ")))
+def path_names(paths: DataFrame, names: DataFrame, key: list[str]) -> DataFrame:
+    """``paths`` with event_names: the ends of each step, source first, each once. A backward path's steps end at the node before."""
+    steps = F.expr("flatten(transform(filter(sequence(1, size(nodes)), i -> i < size(nodes)), i -> if(direction = 'backward', array(nodes[i], nodes[i - 1]), array(nodes[i - 1], nodes[i]))))")
+    named = paths.select(*key, F.posexplode(F.array_distinct(steps)).alias("_pos", "event_id")).join(names, "event_id", "left")
+    lists = named.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("event_name", "event_id").alias("_n")))), lambda x: x["_n"]).alias("event_names"))
+    return paths.join(lists, key, "left").withColumn("event_names", F.coalesce("event_names", F.array().cast("array<string>")))
+
+
+def _either(*columns: str) -> Column:
+    return F.coalesce(*(F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit("")) for c in columns), F.lit(NOT_GIVEN))
+
+
+def prompts(questions: DataFrame, evidence: DataFrame, paths: DataFrame, most: int = CONTEXT_CHARS) -> DataFrame:
+    """(question_id, user_prompt): the question, its confidence, evidence blocks, path blocks and what is asked for, cut at ``most`` characters.
+
+    questions: query, confidence, consistency. Evidence may have reasons (an array), paths an explanation.
+    """
+    label = lambda name, value: F.concat(F.lit(f"- {name}: "), value)
+    reasons = F.when(F.size(F.coalesce("reasons", F.array())) > 0, label("Ghi chú xác minh", F.array_join("reasons", " | "))) if "reasons" in evidence.columns else F.lit(None).cast("string")
+    block = F.concat_ws("\n", F.concat(F.lit("[E"), "evidence_index", F.lit("]")), label("Rule ID", F.col("rule_id")), label("Căn cứ", article_label(F.col("article_id"), F.col("article_title"))), label("Chủ thể pháp lý", _either("legal_subject")),
+                        label("Điều kiện", _either("condition")), label("Hệ quả pháp lý", _either("effect")), label("Sự kiện điều kiện", _either("condition_event_name", "condition_event")), label("Sự kiện hệ quả", _either("effect_event_name", "effect_event")),
+                        label("Loại quan hệ", _either("causal_type")), label("Trạng thái xác minh", F.col("decision")), F.format_string("- Verification score: %.4f", "verification_score"), reasons)
+    explained = _either("explanation") if "explanation" in paths.columns else F.lit(NONE_GIVEN)
+    rules = F.when(F.size(F.coalesce("rule_ids", F.array())) > 0, F.array_join("rule_ids", ", ")).otherwise(F.lit(NOT_GIVEN))
+    way = F.concat_ws("\n", F.concat(F.lit("[P"), "path_index", F.lit("]")), label("Trạng thái", F.col("status")), F.format_string("- Consistency score: %.4f", "consistency"), label("Chuỗi sự kiện", F.array_join("event_names", " → ")),
+                      label("Rule IDs trên path", rules), label("Giải thích xác minh", explained))
     joined = lambda df, i, b, name: df.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(i, b.alias("b")))), lambda x: x["b"]), "\n\n").alias(name))
-    out = questions.select("question_id").join(joined(evidence, "evidence_index", block, "_e"), "question_id", "left").join(joined(paths, "path_index", way, "_p"), "question_id", "left")
-    text = F.concat_ws("\n\n", F.coalesce("_e", F.lit("Không có evidence pháp lý đạt ngưỡng.")), F.coalesce("_p", F.lit("Không có causal path phù hợp.")))
-    return out.select("question_id", truncated(text, most).alias("context"))
+    out = questions.join(joined(evidence, "evidence_index", block, "_e"), "question_id", "left").join(joined(paths, "path_index", way, "_p"), "question_id", "left")
+    values = {"query": F.col("query"), "confidence": F.format_string("%.4f", "confidence"), "consistency": F.format_string("%.4f", "consistency"), "evidence": F.coalesce("_e", F.lit(NO_EVIDENCE)), "paths": F.coalesce("_p", F.lit(NO_PATH))}
+    pieces = [values[x] if k % 2 else F.lit(x) for k, x in enumerate(re.split(r"\{(\w+)\}", PROMPT))]
+    return out.select("question_id", truncated(F.concat(*pieces), most).alias("user_prompt"))
 
 
 def predictions(questions: DataFrame, seeds: DataFrame, evidence: DataFrame, paths: DataFrame, selected: DataFrame, judged: DataFrame, answers: DataFrame) -> DataFrame:

@@ -14,6 +14,17 @@ def in_order(value: Column, order: Column) -> Column:
     return F.array_distinct(F.transform(rows, lambda x: x["v"]))
 
 
+def first_seen(rows: DataFrame, key: str, values: dict[str, Column], order: str) -> DataFrame:
+    """(key, an array for each of ``values``): distinct non-empty values by the order they were first seen in.
+
+    Each value is reduced to its first row before any array is made, so a hot key gathers what is distinct and no more.
+    """
+    fields = F.array(*(F.struct(F.lit(n).alias("f"), v.alias("v")) for n, v in values.items()))
+    seen = rows.select(key, F.col(order).alias("_o"), F.explode(fields).alias("_x")).where("_x.v <> ''").groupBy(key, "_x.f", "_x.v").agg(F.min("_o").alias("_o"))
+    lists = (F.transform(F.array_sort(F.collect_list(F.when(F.col("f") == n, F.struct("_o", "v")))), lambda x: x["v"]).alias(n) for n in values)
+    return seen.groupBy(key).agg(*lists)
+
+
 def as_set(value: Column) -> Column:
     """Aggregate: the distinct non-empty values, sorted as strings."""
     return F.array_sort(F.collect_set(F.when(value != "", value)))
@@ -43,13 +54,14 @@ def rule_nodes(rules: DataFrame) -> DataFrame:
 def event_nodes(rules: DataFrame) -> DataFrame:
     o = occurrences(rules)
     on = lambda role: F.when(F.col("role") == role, F.col("text")).otherwise("")
+    lists = first_seen(o, "event_id", {"names": F.col("name"), "texts": F.col("text"), "condition_texts": on("CONDITION"), "effect_texts": on("EFFECT")}, "ord")
     out = o.groupBy("event_id").agg(
-        F.min("ord").alias("node_ord"), in_order(F.col("name"), F.col("ord")).alias("names"), in_order(F.col("text"), F.col("ord")).alias("texts"),
-        in_order(on("CONDITION"), F.col("ord")).alias("condition_texts"), in_order(on("EFFECT"), F.col("ord")).alias("effect_texts"),
+        F.min("ord").alias("node_ord"),
         F.count_if(F.col("role") == "CONDITION").alias("condition_count"), F.count_if(F.col("role") == "EFFECT").alias("effect_count"),
         as_set(F.col("rule_id")).alias("rule_ids"), as_set(F.col("article_id")).alias("article_ids"), as_set(F.col("original")).alias("originals"), as_set(F.col("modality")).alias("modalities"),
     )
-    joined = {c: F.array_join(c, " || ") for c in ("names", "texts", "condition_texts", "effect_texts")} | {c: F.array_join(c, ",") for c in ("rule_ids", "article_ids", "originals", "modalities")}
+    out = out.join(lists, "event_id", "left")
+    joined = {c: F.coalesce(F.array_join(c, " || "), F.lit("")) for c in ("names", "texts", "condition_texts", "effect_texts")} | {c: F.array_join(c, ",") for c in ("rule_ids", "article_ids", "originals", "modalities")}
     out = out.withColumns(joined | {"is_condition": F.col("condition_count") > 0, "is_effect": F.col("effect_count") > 0})
     return out.withColumn("node_id", F.concat(F.lit("EVENT::"), "event_id"))
 
@@ -97,6 +109,30 @@ def two_hop(edges: DataFrame) -> DataFrame:
     return ab.join(bc, F.col("event_b") == F.col("_b")).where("event_a <> event_c").drop("_b")
 
 
+def event_names(rules: DataFrame) -> DataFrame:
+    """(event_id, event_name): the first name of each event, or else its id."""
+    o = occurrences(rules)
+    return o.groupBy("event_id").agg(F.coalesce(F.min(F.when(F.col("name") != "", F.struct("ord", "name")))["name"], F.col("event_id")).alias("event_name"))
+
+
+def two_hop_named(chains: DataFrame, names: DataFrame) -> DataFrame:
+    """Chains with each event's node id and name; an event that is no node goes by its id."""
+    for side in "abc":
+        own = names.select(F.col("event_id").alias(f"event_{side}"), F.col("event_name").alias(f"event_{side}_name"))
+        chains = chains.join(own, f"event_{side}", "left").withColumns({f"event_{side}_name": F.coalesce(f"event_{side}_name", f"event_{side}"), f"event_{side}_id": F.concat(F.lit("EVENT::"), f"event_{side}")})
+    return chains
+
+
+def relation_edges(edges: DataFrame, relation: str) -> DataFrame:
+    """Edges of a loaded graph by relation, in any case of letters."""
+    return edges.where(F.upper(F.trim(F.coalesce("relation", F.lit("")))) == relation.upper())
+
+
+def typed_nodes(nodes: DataFrame, node_type: str) -> DataFrame:
+    """Nodes of a loaded graph by type, in any case of letters, or by the prefix of their id."""
+    return nodes.where((F.upper(F.trim(F.coalesce("node_type", F.lit("")))) == node_type.upper()) | F.col("node_id").startswith(f"{node_type.upper()}::"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     both = edges.select(F.explode(F.array(F.struct(F.col("src").alias("event_id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("event_id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
     return both.groupBy("x.event_id").agg(F.sum("x.o").alias("out_degree"), F.sum("x.i").alias("in_degree"))
@@ -129,6 +165,11 @@ def long_chains(edges: DataFrame, min_nodes: int = 4, max_depth: int = 20) -> Da
     return done.where(F.size("path") >= min_nodes).select("path", F.size("path").alias("n_nodes"))
 
 
+def sorted_chains(chains: DataFrame) -> DataFrame:
+    """Long ones first, then by their nodes."""
+    return chains.orderBy(F.desc("n_nodes"), "path")
+
+
 def weak_components(events: DataFrame, edges: DataFrame) -> DataFrame:
     """(event_id, component): components are named by their smallest event; events without edges are their own."""
     both = stage(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct(), "wcc-links")

@@ -22,18 +22,25 @@ def top_k(queries: DataFrame, memory: DataFrame, k: int, floors: dict[str, float
     q = queries.withColumn("_q", F.pmod(F.xxhash64("question_id"), F.lit(n_q)).cast("int")).withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(n_m - 1))))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        names = ["question_id", "memory_id", "memory_type", "score"]
+        found = []
         if len(left) and len(right):
             right = right.sort_values("memory_id", kind="stable")
             scores = np.round(np.stack(left["qv"]).astype(np.float64) @ np.stack(right["mv"]).astype(np.float64).T, 9)
-            kinds, ids = right["memory_type"].to_numpy(), right["memory_id"].to_numpy()
+            kinds, ids, questions = right["memory_type"].to_numpy(), right["memory_id"].to_numpy(), left["question_id"].to_numpy()
             for kind, floor in floors.items():
                 own = np.flatnonzero(kinds == kind)
-                order = np.argsort(-scores[:, own], axis=1, kind="stable")[:, :k]
-                for row, question in enumerate(left["question_id"]):
-                    at = own[order[row]]
-                    out += [(question, ids[i], kind, scores[row, i]) for i in at if scores[row, i] >= floor]
-        return pd.DataFrame(out, columns=["question_id", "memory_id", "memory_type", "score"])
+                x = scores[:, own]
+                if not len(own):
+                    continue
+                least = np.partition(x, max(0, len(own) - k), axis=1)[:, max(0, len(own) - k)]
+                row, col = np.nonzero(x >= np.maximum(least, floor)[:, None])  # k of a row, and what equals the last
+                order = np.lexsort((col, -x[row, col], row))
+                row, col = row[order], col[order]
+                keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, col = row[keep], col[keep]
+                found.append(pd.DataFrame({"question_id": questions[row], "memory_id": ids[own[col]], "memory_type": kind, "score": x[row, col]}, columns=names))
+        return pd.concat(found) if found else pd.DataFrame(columns=names)
 
     # Aliased throughout: both sides may come from one table.
     left = q.select(F.col("_m").alias("qm"), F.col("_q").alias("qq"), F.col("question_id"), F.col("vector").alias("qv"))

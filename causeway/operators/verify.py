@@ -30,14 +30,51 @@ def struct_score(supports):
     return F.when(hops > 0, clamp(total / hops * F.pow(F.lit(EDGE_DECAY), hops - 1))).otherwise(F.lit(0.0))
 
 
+def path_nodes(paths: DataFrame, events: DataFrame, key: list[str]) -> DataFrame:
+    """``paths`` with nodes: the events that a path means, known ones alone, each once.
+
+    The first of event_nodes ("EVENT::" and id) and event_ids that has two known events at least; else events (of event_node or
+    event_id), if there is such a list, and else what event_nodes has. events: event_id.
+    """
+    bare = lambda x: F.regexp_replace(x, "^EVENT::", "")
+    lists = [F.transform("event_nodes", bare), F.col("event_ids"), F.transform("events", lambda e: F.coalesce(F.nullif(bare(e["event_node"]), F.lit("")), e["event_id"]))]
+    named = paths.select(*key, F.posexplode(F.array(*lists)).alias("_k", "_l")).select(*key, "_k", F.posexplode("_l").alias("_pos", "event_id"))
+    known = named.join(events.select("event_id").distinct(), "event_id").groupBy(*key, "_k").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "event_id"))), lambda x: x["event_id"])).alias("_n"), F.count(F.lit(1)).alias("_c"))
+    per = known.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_k", F.struct("_n", "_c")))).alias("_m"))
+    out = paths.join(per, key, "left")
+    of, none = (lambda k: F.col("_m")[F.lit(k)]), F.array().cast("array<string>")
+    pick = F.when(of(0)["_c"] >= 2, of(0)["_n"]).when(of(1)["_c"] >= 2, of(1)["_n"]).when(F.col("events").isNotNull(), of(2)["_n"]).otherwise(of(0)["_n"])
+    return out.withColumn("nodes", F.coalesce(pick, none)).drop("_m")
+
+
+def _pairs(column: str):
+    return F.expr(f"transform(filter(sequence(1, size({column})), i -> i < size({column})), i -> struct({column}[i - 1] AS src, {column}[i] AS dst))")
+
+
+def inferred_ids(paths: DataFrame, edges: DataFrame, key: list[str], nodes: str = "nodes") -> DataFrame:
+    """``paths`` whose rule_ids or article_ids are empty get those of the edges along their nodes, in order, each once."""
+    steps = paths.where(F.least(F.size(F.coalesce("rule_ids", F.array())), F.size(F.coalesce("article_ids", F.array()))) == 0).select(*key, F.posexplode(_pairs(nodes)).alias("_pos", "_e")).select(*key, "_pos", "_e.*")
+    along = steps.join(edges.select("src", "dst", F.col("rule_ids").alias("_r"), F.col("article_ids").alias("_a")), ["src", "dst"])
+    flat = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_pos", c))), lambda x: x[c])))
+    out = paths.join(along.groupBy(*key).agg(flat("_r").alias("_r"), flat("_a").alias("_a")), key, "left")
+    fill = lambda c, f: F.when(F.size(F.coalesce(c, F.array())) > 0, F.col(c)).otherwise(F.coalesce(f, F.array().cast("array<string>")))
+    return out.withColumns({"rule_ids": fill("rule_ids", "_r"), "article_ids": fill("article_ids", "_a")}).drop("_r", "_a")
+
+
 def oriented(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes in causal order and the supports of their edges; no supports where a pair is no edge either way round."""
+    """Nodes in causal order (chain) and the supports of their edges.
+
+    The order is that of the path's direction if all its pairs are edges, else the other way round if they are so; where neither
+    holds, the first stays without supports.
+    """
     turned = paths.withColumn("chain", F.when(F.col("direction") == "backward", F.reverse("nodes")).otherwise(F.col("nodes")))
-    pairs = turned.select("question_id", "path_id", F.posexplode(F.expr("transform(sequence(1, size(chain) - 1), i -> struct(chain[i - 1] AS src, chain[i] AS dst))")).alias("pos", "p"))
-    found = pairs.select("question_id", "path_id", "pos", "p.*").join(edges.select("src", "dst", "support"), ["src", "dst"], "left")
-    found = found.groupBy("question_id", "path_id").agg(F.bool_and(F.col("support").isNotNull()).alias("_sound"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "support"))), lambda x: x["support"]).alias("_supports"))
-    out = turned.join(found, ["question_id", "path_id"])
-    return out.withColumn("chain_supports", F.when(F.col("_sound"), F.col("_supports")).otherwise(F.array().cast("array<bigint>"))).drop("_sound", "_supports")
+    ways = turned.select("question_id", "path_id", F.posexplode(F.array("chain", F.reverse("chain"))).alias("_v", "_way"))
+    pairs = ways.select("question_id", "path_id", "_v", F.posexplode(_pairs("_way")).alias("pos", "p"))
+    found = pairs.select("question_id", "path_id", "_v", "pos", "p.*").join(edges.select("src", "dst", "support"), ["src", "dst"], "left")
+    found = found.groupBy("question_id", "path_id", "_v").agg(F.bool_and(F.col("support").isNotNull()).alias("_sound"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "support"))), lambda x: x["support"]).alias("_supports"))
+    best = found.where("_sound").groupBy("question_id", "path_id").agg(F.min(F.struct("_v", "_supports")).alias("_b"))
+    out = turned.join(best, ["question_id", "path_id"], "left")
+    return out.withColumns({"chain": F.when(F.col("_b._v") == 1, F.reverse("chain")).otherwise(F.col("chain")), "chain_supports": F.coalesce("_b._supports", F.array().cast("array<bigint>"))}).drop("_b")
 
 
 def alternatives(asked: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS, max_paths: int = MAX_PATHS) -> DataFrame:

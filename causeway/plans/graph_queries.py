@@ -8,7 +8,9 @@ from causeway.functions import text as T
 from causeway.operators import graph as G
 from causeway.operators import memory as M
 from causeway.operators import rules as R
+from causeway.operators import verify as C
 from causeway.plans.bindings import DAG, EDGES, RULES, dag, raw_rules, rules, table
+from causeway.plans.metric_queries import SAMPLES, samples
 
 CHAIN_DEPTH, CHAIN_NODES = 4, 3
 
@@ -21,6 +23,27 @@ def _join(x: str, sep: str = ",") -> str:
     return f"array_to_string({x}, '{sep}')"
 
 
+def path_nodes(spark, d):
+    """Paths of orders: event nodes are its prediction's parts, ids those of the order before, events gold; parts divisible by 3 are unknown."""
+    rows = samples(spark, d)
+    known = table(spark, d, "part").where("p_partkey % 3 <> 0").select(F.concat(F.lit("part_"), "p_partkey").alias("event_id"))
+    event = lambda x, i: F.struct(F.when(i % 2 == 0, F.concat(F.lit("EVENT::"), x)).otherwise("").alias("event_node"), x.alias("event_id"))
+    paths = rows.select("id", F.transform(F.slice("pred", 1, 2), lambda x: F.concat(F.lit("EVENT::"), x)).alias("event_nodes"), F.slice("prev", 1, 2).alias("event_ids"), F.when(F.col("id") % 2 == 0, F.transform("gold", event)).alias("events"))
+    return C.path_nodes(paths, known, ["id"]).select("id", F.array_join("nodes", ",").alias("nodes"))
+
+
+def inferred_ids(spark, d):
+    """Chains of an order's parts: rule ids are given for every third order and else those of the edges."""
+    rows = samples(spark, d).where("size(gold) > 1").select("id", F.col("gold").alias("nodes"), F.when(F.col("id") % 3 == 0, F.array(F.lit("given"))).alias("rule_ids"), F.array().cast("array<string>").alias("article_ids"))
+    return C.inferred_ids(rows, _edges(spark, d), ["id"]).select("id", F.array_join("rule_ids", ",").alias("rule_ids"), F.array_join("article_ids", ",").alias("article_ids"))
+
+
+def mixed_nodes(spark, d):
+    """Parts as nodes: by type in either case, by prefix, or as something else."""
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select(F.concat(F.when(k % 4 == 0, F.lit("EVENT::")).otherwise(F.lit("n")), k).alias("node_id"), F.when(k % 4 == 1, " event").when(k % 4 == 2, "Event").otherwise("RULE").alias("node_type"))
+
+
 QUERIES = {
     "rules_clean": lambda s, d: rules(s, d).select("row_pos", "rule_id", "article_id", "legal_subject", "subject_norm", "condition", "effect", "condition_event", "effect_event"),
     "rule_id_repair": lambda s, d: rules(s, d).select("row_pos", "base_id", "rule_id"),
@@ -53,6 +76,12 @@ QUERIES = {
     "rule_embedding_text": lambda s, d: rules(s, d).select("rule_id", F.md5(M.rule_text().cast("binary")).alias("text_md5")),
     "event_embedding_text": lambda s, d: G.event_nodes(rules(s, d)).withColumn("event_role", M.event_role()).select("event_id", "event_role", F.md5(M.event_text().cast("binary")).alias("text_md5")),
     "event_modality": lambda s, d: table(s, d, "part").select("p_partkey", F.concat(F.when(F.col("p_size") > 40, "bị ").when(F.col("p_size") > 30, "có thể được ").otherwise(""), "p_name").alias("t")).select("p_partkey", M.modality(F.col("t"))[0].alias("event"), M.modality(F.col("t"))[1].alias("modality")),
+    "two_hop_named": lambda s, d: G.two_hop_named(G.two_hop(dag(_edges(s, d))), G.event_names(rules(s, d))),
+    "long_chains_sorted": lambda s, d: G.sorted_chains(G.long_chains(dag(_edges(s, d)), CHAIN_NODES, CHAIN_DEPTH)).limit(100).select(F.array_join("path", ">").alias("path"), "n_nodes"),
+    "path_nodes": lambda s, d: path_nodes(s, d),
+    "inferred_ids": lambda s, d: inferred_ids(s, d),
+    "event_filter": lambda s, d: G.typed_nodes(mixed_nodes(s, d), "EVENT").select("node_id"),
+    "causes_filter": lambda s, d: G.relation_edges(G.all_edges(rules(s, d)).withColumn("relation", F.lower("relation")), "CAUSES").select("src", "dst", "rule_id"),
     "text_slug": lambda s, d: table(s, d, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug")),
 }
 
@@ -102,7 +131,33 @@ SQL = {
         SELECT DISTINCT [src] AS path FROM dedges WHERE src NOT IN (SELECT dst FROM dedges)
         UNION ALL SELECT list_append(path, dst) FROM walk JOIN dedges ON src = path[-1] WHERE len(path) < {CHAIN_DEPTH}
       ) SELECT array_to_string(path, '>') AS path, len(path) AS n_nodes FROM walk WHERE len(path) = {CHAIN_DEPTH} OR (len(path) >= {CHAIN_NODES} AND path[-1] NOT IN (SELECT src FROM dedges))""",
-    "is_dag": "SELECT TRUE AS is_dag",
+    "long_chains_sorted": f"""WITH RECURSIVE {DAG}, walk AS (
+        SELECT DISTINCT [src] AS path FROM dedges WHERE src NOT IN (SELECT dst FROM dedges)
+        UNION ALL SELECT list_append(path, dst) FROM walk JOIN dedges ON src = path[-1] WHERE len(path) < {CHAIN_DEPTH}
+      ) SELECT array_to_string(path, '>') AS path, len(path) AS n_nodes FROM walk WHERE len(path) = {CHAIN_DEPTH} OR (len(path) >= {CHAIN_NODES} AND path[-1] NOT IN (SELECT src FROM dedges)) ORDER BY len(path) DESC, walk.path LIMIT 100""",
+    # An order that every edge follows proves the one; a cycle of two or three the other.
+    "is_dag": f"WITH {DAG} SELECT bool_and(substr(src, 6)::BIGINT < substr(dst, 6)::BIGINT) AS is_dag FROM dedges",
+    "is_dag_cyclic": f"""WITH {EDGES} SELECT NOT EXISTS (FROM cedges a JOIN cedges b ON a.dst = b.src WHERE b.dst = a.src) AND NOT EXISTS (FROM cedges a JOIN cedges b ON a.dst = b.src JOIN cedges c ON b.dst = c.src WHERE c.dst = a.src) AS is_dag""",
+    "weak_components": f"""WITH RECURSIVE {EDGES}, links AS (SELECT src AS a, dst AS b FROM cedges UNION SELECT dst, src FROM cedges), reach AS (
+        SELECT event_id, event_id AS c FROM firsts UNION SELECT b, c FROM reach JOIN links ON a = event_id WHERE c < b
+      ) SELECT event_id, min(c) AS component FROM reach GROUP BY event_id""",
+    "event_embedding_text": f"""WITH {EDGES}, t AS (SELECT event_id, string_agg(text, ' || ' ORDER BY o) AS texts FROM (SELECT event_id, text, min(ord) AS o FROM occ WHERE text <> '' GROUP BY ALL) GROUP BY event_id
+      ), tr AS (SELECT event_id, string_agg(text, ' || ' ORDER BY o) FILTER (WHERE role = 'CONDITION') AS c, string_agg(text, ' || ' ORDER BY o) FILTER (WHERE role = 'EFFECT') AS e FROM (SELECT event_id, role, text, min(ord) AS o FROM occ WHERE text <> '' GROUP BY ALL) GROUP BY event_id
+      ), n AS (SELECT event_id, min(name) AS names, CASE WHEN count(DISTINCT role) = 2 THEN 'BRIDGE' ELSE min(role) END AS event_role, count(*) FILTER (WHERE role = 'CONDITION') AS cc, count(*) FILTER (WHERE role = 'EFFECT') AS ec, {_join("list_sort(list_distinct(list(article_id)))")} AS articles FROM occ GROUP BY event_id)
+      SELECT event_id, event_role, md5('Loại bộ nhớ: ' || CASE event_role {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in M.ROLE_LABELS.items())} END || chr(10) || 'Tên sự kiện: ' || names || chr(10) || 'Mã sự kiện: ' || event_id || chr(10) || 'Vai trò trong đồ thị: ' || event_role || chr(10)
+        || 'Các cách diễn đạt: ' || coalesce(texts, '') || chr(10) || 'Ngữ cảnh điều kiện: ' || coalesce(c, '') || chr(10) || 'Ngữ cảnh hệ quả: ' || coalesce(e, '') || chr(10) || 'Số lần làm điều kiện: ' || cc || chr(10) || 'Số lần làm hệ quả: ' || ec || chr(10) || 'Các điều luật liên quan: ' || articles) AS text_md5
+      FROM n LEFT JOIN t USING (event_id) LEFT JOIN tr USING (event_id)""",
+    "two_hop_named": f"""WITH {DAG}, n AS (SELECT event_id, arg_min(name, ord) AS name FROM occ WHERE name <> '' GROUP BY event_id)
+      SELECT x.src AS event_a, x.dst AS event_b, x.support AS support_ab, y.dst AS event_c, y.support AS support_bc, 'EVENT::' || x.src AS event_a_id, 'EVENT::' || x.dst AS event_b_id, 'EVENT::' || y.dst AS event_c_id, a.name AS event_a_name, b.name AS event_b_name, c.name AS event_c_name
+      FROM dedges x JOIN dedges y ON x.dst = y.src JOIN n a ON a.event_id = x.src JOIN n b ON b.event_id = x.dst JOIN n c ON c.event_id = y.dst""",
+    "path_nodes": f"""WITH {SAMPLES}, k AS (SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0), f AS (SELECT id, list_filter(pr[1:2], lambda x: substr(x, 6)::BIGINT % 3 <> 0) AS a, list_filter(coalesce(prev, [])[1:2], lambda x: substr(x, 6)::BIGINT % 3 <> 0) AS b, CASE WHEN id % 2 = 0 THEN list_filter(gold, lambda x: substr(x, 6)::BIGINT % 3 <> 0) END AS c FROM s)
+      SELECT id, array_to_string(CASE WHEN len(a) >= 2 THEN a WHEN len(b) >= 2 THEN b WHEN c IS NOT NULL THEN c ELSE a END, ',') AS nodes FROM f""",
+    "inferred_ids": f"""WITH {EDGES}, {SAMPLES.lstrip()}, st AS (SELECT id, unnest(range(1, len(gold))) AS i, gold FROM s WHERE len(gold) > 1), al AS (SELECT id, i, rule_ids, articles FROM st JOIN cedges ON src = gold[i] AND dst = gold[i + 1]
+      ), ar AS (SELECT id, string_agg(x, ',' ORDER BY o) AS r FROM (SELECT id, x, min(i * 100000 + j) AS o FROM (SELECT id, i, unnest(rule_ids) AS x, generate_subscripts(rule_ids, 1) AS j FROM al) GROUP BY ALL) GROUP BY id
+      ), aa AS (SELECT id, string_agg(x, ',' ORDER BY o) AS a FROM (SELECT id, x, min(i * 100000 + j) AS o FROM (SELECT id, i, unnest(articles) AS x, generate_subscripts(articles, 1) AS j FROM al) GROUP BY ALL) GROUP BY id)
+      SELECT id, CASE WHEN id % 3 = 0 THEN 'given' ELSE coalesce(r, '') END AS rule_ids, coalesce(a, '') AS article_ids FROM s LEFT JOIN ar USING (id) LEFT JOIN aa USING (id) WHERE len(gold) > 1""",
+    "event_filter": "SELECT CASE WHEN p_partkey % 4 = 0 THEN 'EVENT::' ELSE 'n' END || p_partkey AS node_id FROM part WHERE p_partkey % 4 <> 3",
+    "causes_filter": f"WITH {RULES} SELECT 'EVENT::' || condition_event AS src, 'EVENT::' || effect_event AS dst, rule_id FROM rules WHERE condition_event <> effect_event",
     "rule_dedup": f"""WITH {RULES}, f AS (SELECT *, row_number() OVER (PARTITION BY article_id, lower(legal_subject), lower(condition), lower(effect) ORDER BY row_pos) AS k FROM rules)
       SELECT rule_id, article_id, row_number() OVER (PARTITION BY article_id ORDER BY row_pos) AS article_index FROM f WHERE k = 1""",
     "sha_rule_key": f"""WITH {RULES} SELECT row_pos, sha256("index" || '|' || article_id || '|' || condition || '|' || effect) AS rule_key FROM raw""",

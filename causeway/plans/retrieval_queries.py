@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from causeway.operators import retrieve as R
 from causeway.operators import vector as V
 from causeway.operators import verify as C
 from causeway.plans.bindings import EDGES, rules, table
-from causeway.plans.stage import stage
+from causeway.plans.stage import numbered, stage
 
 
 def _once(make):
@@ -29,6 +30,24 @@ def _once(make):
     return read
 
 
+#: Rules and the causal graph of a folder of tables: built once in an application, as a step of its own, and read by every run.
+_BUILT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _built(make):
+    name = make.__name__
+
+    @wraps(make)
+    def read(self) -> DataFrame:
+        spark, sf_dir = self._source
+        key = spark.sparkContext.applicationId, sf_dir, name
+        if key not in _BUILT:
+            _BUILT[key] = stage(make(self), name.strip("_"))
+        return _BUILT[key]
+
+    return read
+
+
 class Run:
     """The stages of one run over the driver's tables, each worked out once and kept as a table."""
 
@@ -41,7 +60,7 @@ class Run:
         self._vectors = memory.withColumnRenamed("vec_id", "memory_id")
         self.questions = vec.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "question_id")
 
-    @_once
+    @_built
     def _rules(self) -> DataFrame:
         return rules(*self._source)
 
@@ -49,7 +68,7 @@ class Run:
     def rules(self) -> DataFrame:
         return self._rules()
 
-    @_once
+    @_built
     def _edges(self) -> DataFrame:
         return G.causal_edges(self.rules)
 
@@ -57,25 +76,36 @@ class Run:
     def edges(self) -> DataFrame:
         return self._edges()
 
-    @property
-    def events(self) -> DataFrame:
+    @_built
+    def _events(self) -> DataFrame:
         return G.event_facts(self.rules)
 
     @property
-    def memory(self) -> DataFrame:
-        first = self.rules.groupBy("article_id").agg(F.min_by("rule_id", "row_pos").alias("rule_id"))
-        return self._vectors.join(first, "article_id", "left")
+    def events(self) -> DataFrame:
+        return self._events()
+
+    @_built
+    def _names(self) -> DataFrame:
+        return G.event_names(self.rules)
+
+    @_built
+    def _first_rules(self) -> DataFrame:
+        """The first rule of each article."""
+        return self.rules.groupBy("article_id").agg(F.min_by("rule_id", "row_pos").alias("rule_id"))
+
+    def with_rule(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self._first_rules(), "article_id", "left")
 
     @_once
     def hits(self) -> DataFrame:
-        found = V.top_k(self.questions, self.memory, R.TOP_K, R.FLOORS)
-        return found.join(self.memory.select("memory_id", "event_id", "rule_id"), "memory_id")
+        found = V.top_k(self.questions, self._vectors, R.TOP_K, R.FLOORS)
+        return found.join(self._vectors.select("memory_id", "event_id", "article_id"), "memory_id")
 
     def seeds(self) -> DataFrame:
         return self.hits().where("memory_type = 'EVENT'").select("question_id", F.col("rank").alias("seed_rank"), "event_id", "score")
 
     def direct(self) -> DataFrame:
-        return self.hits().where("memory_type = 'RULE' AND rule_id IS NOT NULL").select("question_id", "rank", "rule_id", "score")
+        return self.with_rule(self.hits().where("memory_type = 'RULE'")).where("rule_id IS NOT NULL").select("question_id", "rank", "rule_id", "score")
 
     def bfs(self, direction: str) -> DataFrame:
         return R.bounded_paths(self.seeds(), self.edges, self.events, direction)
@@ -89,7 +119,7 @@ class Run:
 
     @_once
     def evidence(self) -> DataFrame:
-        return R.reranked(self.questions, self.candidates(), self.direct(), self.memory.where("rule_id IS NOT NULL"))
+        return R.reranked(self.questions, self.candidates(), self.direct(), self.with_rule(self._vectors).where("rule_id IS NOT NULL"))
 
     @_once
     def oriented(self) -> DataFrame:
@@ -109,7 +139,7 @@ class Run:
         evidence, paths = self.judged_evidence()
         evidence = stage(evidence, "judged")
         decided = C.decided(evidence)
-        facts = self.rules.select("rule_id", "article_id", "article_title", "condition", "effect")
+        facts = self.rules.select("rule_id", "article_id", "article_title", "condition", "effect", "legal_subject", "condition_event", "effect_event", "condition_event_name", "effect_event_name", "causal_type")
         selected = stage(A.selected_evidence(decided).join(facts, "rule_id"), "selected")
         judged = C.judged(self.questions, paths, decided)
         answers = A.extractive_answers(judged.select("question_id", "confidence"), selected)
@@ -148,6 +178,8 @@ QUERIES = {
     "citation_repair": lambda s, d: Run(s, d).final()["answers"].select("question_id", "repaired", _j("citations_used"), "n_invalid"),
     "answer_context": lambda s, d: answer_context(s, d),
     "prediction_record": lambda s, d: prediction_record(s, d),
+    "path_event_names": lambda s, d: path_event_names(s, d),
+    "turned_paths": lambda s, d: turned_paths(s, d),
 }
 
 
@@ -157,7 +189,7 @@ def memory_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = r.select(F.lit("RULE").alias("memory_type"), F.concat(F.lit("RULE::"), "rule_id").alias("graph_node_id"), "rule_id", "article_id", F.lit(0).alias("type_ord"), F.col("row_pos").alias("ord"))
     role = F.when(F.col("is_condition") & F.col("is_effect"), "BRIDGE").when(F.col("is_condition"), "CONDITION").when(F.col("is_effect"), "EFFECT").otherwise("EVENT")
     two = G.event_nodes(r).select(F.lit("EVENT").alias("memory_type"), F.concat(F.lit("EVENT::"), "event_id").alias("graph_node_id"), "event_id", role.alias("event_role"), F.lit(1).alias("type_ord"), F.col("node_ord").alias("ord"))
-    return one.unionByName(two, allowMissingColumns=True)
+    return numbered(one.unionByName(two, allowMissingColumns=True), "memory_id", "type_ord", "ord")
 
 
 def alt_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +201,21 @@ def alt_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = Run(spark, sf_dir)
     f = run.final()
-    return A.contexts(run.questions, f["selected"], f["final_paths"])
+    questions = f["judged"].select("question_id", F.concat(F.lit("Câu hỏi "), "question_id").alias("query"), "confidence", "consistency")
+    return A.prompts(questions, f["selected"], A.path_names(f["final_paths"], run._names(), ["question_id", "path_id"]))
+
+
+def path_event_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = Run(spark, sf_dir)
+    return A.path_names(run.paths(), run._names(), ["question_id", "path_id"]).select("question_id", "path_id", F.array_join("event_names", "|").alias("event_names"))
+
+
+def turned_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths whose direction is told wrongly, but for every third: they are found the other way round."""
+    run = Run(spark, sf_dir)
+    wrong = F.when(F.col("direction") == "backward", "forward").otherwise("backward")
+    paths = run.paths().withColumn("direction", F.when(F.col("path_id") % 3 == 0, F.col("direction")).otherwise(wrong))
+    return C.oriented(paths, run.edges).select("question_id", "path_id", F.array_join("chain", ",").alias("chain"), F.size("chain_supports").alias("n_edges"))
 
 
 def prediction_record(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,7 +291,7 @@ STAGES = EDGES + """, vec AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embed
          CASE WHEN b IS NULL THEN 0.85 WHEN b >= 0.35 THEN 0.25 ELSE 0.60 END AS necessity
   FROM chains LEFT JOIN (SELECT start, mediator, goal, max(score) AS b FROM alts GROUP BY ALL) x ON x.start = chain[1] AND x.mediator = chain[2] AND x.goal = chain[3] WHERE hop = 2
 ), ver AS (
-  SELECT question_id, path_id, rule_ids, nodes, CASE WHEN hop = 1 OR m.status <> 'NON_NECESSARY' THEN 'SUPPORTED' ELSE 'UNRESOLVED' END AS status, path_score,
+  SELECT question_id, path_id, rule_ids, nodes, direction, CASE WHEN hop = 1 OR m.status <> 'NON_NECESSARY' THEN 'SUPPORTED' ELSE 'UNRESOLVED' END AS status, path_score,
          round(CASE WHEN hop = 1 THEN greatest(0.7, path_score) ELSE least(1.0, 0.55 * necessity + 0.45 * path_score) END, 9) AS consistency
   FROM (SELECT *, round(least(1.0, CASE WHEN graph_score <= 0 THEN struct_score ELSE 0.55 * graph_score + 0.45 * struct_score END), 9) AS path_score FROM chains) LEFT JOIN med m USING (question_id, path_id)
 ), rel AS (
@@ -284,6 +330,32 @@ STAGES = EDGES + """, vec AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embed
 )"""
 
 _N = "array_to_string(nodes, ',') AS nodes"
+#: Ends of a path's steps with the first names of their events.
+_NAMED = """named AS (SELECT event_id, arg_min(name, ord) AS event_name FROM occ WHERE name <> '' GROUP BY event_id)"""
+_ENDS = "CASE WHEN direction = 'backward' THEN list_concat([nodes[2], nodes[1]], nodes[3:]) ELSE nodes END"
+
+
+def _prompt_sql() -> str:
+    values = {"query": "'Câu hỏi ' || v.question_id", "confidence": "printf('%.4f', confidence)", "consistency": "printf('%.4f', cons)", "evidence": f"coalesce(eb, '{A.NO_EVIDENCE}')", "paths": f"coalesce(pb, '{A.NO_PATH}')"}
+    parts = re.split(r"\{(\w+)\}", A.PROMPT)
+    return " || ".join(values[x] if k % 2 else "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for k, x in enumerate(parts))
+
+
+def _block(lines: list[str]) -> str:
+    return " || chr(10) || ".join(lines)
+
+
+_GIVEN = f"coalesce(nullif({{x}}, ''), '{A.NOT_GIVEN}')"
+_EVIDENCE_BLOCK = _block([
+    "'[E' || evidence_index || ']'", "'- Rule ID: ' || rule_id", "'- Căn cứ: Điều ' || article_id || CASE WHEN article_title <> '' THEN ' – ' || article_title ELSE '' END", *(f"'- {n}: ' || {_GIVEN.format(x=c)}" for n, c in (
+        ("Chủ thể pháp lý", "legal_subject"), ("Điều kiện", "condition"), ("Hệ quả pháp lý", "effect"), ("Sự kiện điều kiện", "condition_event_name"), ("Sự kiện hệ quả", "effect_event_name"))),
+    "'- Loại quan hệ: DIRECT'", "'- Trạng thái xác minh: ' || decision", "printf('- Verification score: %.4f', verification_score)",
+])
+_PATH_BLOCK = _block(["'[P' || path_index || ']'", "'- Trạng thái: ' || status", "printf('- Consistency score: %.4f', consistency)", "'- Chuỗi sự kiện: ' || names", "'- Rule IDs trên path: ' || array_to_string(rule_ids, ', ')", f"'- Giải thích xác minh: {A.NONE_GIVEN}'"])
+_CONTEXT = f"""{_NAMED}, pn AS (SELECT question_id, path_index, string_agg(coalesce(event_name, x), ' → ' ORDER BY i) AS names FROM (SELECT question_id, path_index, unnest({_ENDS}) AS x, generate_subscripts(nodes, 1) AS i FROM fpaths) LEFT JOIN named ON event_id = x GROUP BY ALL
+), eblk AS (SELECT question_id, string_agg({_EVIDENCE_BLOCK}, chr(10) || chr(10) ORDER BY evidence_index) AS eb FROM pick JOIN rules USING (rule_id) GROUP BY question_id
+), pblk AS (SELECT question_id, string_agg({_PATH_BLOCK}, chr(10) || chr(10) ORDER BY path_index) AS pb FROM fpaths JOIN pn USING (question_id, path_index) GROUP BY question_id
+), prompt AS (SELECT v.question_id, {_prompt_sql()} AS t FROM verdict v LEFT JOIN eblk USING (question_id) LEFT JOIN pblk USING (question_id))"""
 
 
 def _sql(columns: str) -> str:
@@ -294,8 +366,8 @@ SQL = {
     "vector_topk": _sql("question_id, memory_id, memory_type, rank, round(score, 6) AS score FROM hits"),
     "event_seeds": _sql("question_id, seed_rank, event_id, round(score, 6) AS score FROM seeds"),
     "direct_rules": _sql("question_id, rank, rule_id, round(score, 6) AS score FROM direct"),
-    "memory_union": f"""WITH {EDGES} SELECT 'RULE' AS memory_type, 'RULE::' || rule_id AS graph_node_id, rule_id, article_id, 0 AS type_ord, row_pos AS ord, NULL AS event_id, NULL AS event_role FROM rules
-      UNION ALL SELECT 'EVENT', 'EVENT::' || event_id, NULL, NULL, 1, min(ord), event_id, CASE WHEN count(DISTINCT role) = 2 THEN 'BRIDGE' ELSE min(role) END FROM occ GROUP BY event_id""",
+    "memory_union": f"""WITH {EDGES} SELECT *, row_number() OVER (ORDER BY type_ord, ord) - 1 AS memory_id FROM (SELECT 'RULE' AS memory_type, 'RULE::' || rule_id AS graph_node_id, rule_id, article_id, 0 AS type_ord, row_pos AS ord, NULL AS event_id, NULL AS event_role FROM rules
+      UNION ALL SELECT 'EVENT', 'EVENT::' || event_id, NULL, NULL, 1, min(ord), event_id, CASE WHEN count(DISTINCT role) = 2 THEN 'BRIDGE' ELSE min(role) END FROM occ GROUP BY event_id)""",
     "bfs_paths_fwd": _sql(f"question_id, seed_rank, bfs_rank, hop, {_N} FROM bfs WHERE direction = 'forward'"),
     "bfs_paths_bwd": _sql(f"question_id, seed_rank, bfs_rank, hop, {_N} FROM bfs WHERE direction = 'backward'"),
     "path_scores": _sql(f"question_id, seed_rank, path_id, direction, hop, {_N}, array_to_string(rule_ids, ',') AS rule_ids, round(graph_score, 6) AS graph_score FROM paths"),
@@ -311,4 +383,13 @@ SQL = {
     "final_paths": _sql("question_id, path_index, path_id, status, round(consistency, 6) AS consistency FROM fpaths"),
     "extractive_answer": _sql("question_id, answer FROM said"),
     "citation_repair": _sql("question_id, CASE WHEN n > 0 THEN answer ELSE answer || chr(10) || chr(10) || 'Lưu ý: Nội dung này không thay thế tư vấn pháp lý chính thức.' END AS repaired, array_to_string(list_transform(range(1, n + 1), lambda i: 'E' || i), ',') AS citations_used, 0 AS n_invalid FROM said"),
+    "answer_context": f"WITH {STAGES}, {_CONTEXT} SELECT question_id, CASE WHEN length(t) <= {A.CONTEXT_CHARS} THEN t ELSE rtrim(t[1:{A.CONTEXT_CHARS}], ' ' || chr(10)) || chr(10) || '...[truncated]' END AS user_prompt FROM prompt",
+    "path_event_names": f"""WITH {STAGES}, {_NAMED} SELECT question_id, path_id, string_agg(coalesce(event_name, x), '|' ORDER BY i) AS event_names
+      FROM (SELECT question_id, path_id, unnest({_ENDS}) AS x, generate_subscripts(nodes, 1) AS i FROM paths) LEFT JOIN named ON event_id = x GROUP BY ALL""",
+    "turned_paths": f"""WITH {STAGES}, w AS (SELECT question_id, path_id, CASE WHEN path_id % 3 = 0 OR NOT (SELECT coalesce(bool_and(EXISTS (FROM cedges WHERE src = y[i + 1] AND dst = y[i])), true) FROM (SELECT chain AS y, unnest(range(1, len(chain))) AS i)) THEN chain ELSE list_reverse(chain) END AS chain FROM chains)
+      SELECT question_id, path_id, array_to_string(chain, ',') AS chain, len(chain) - 1 AS n_edges FROM w""",
+    "prediction_record": f"""WITH {STAGES} SELECT q.question_id, retrieved_rule_ids, retrieved_event_ids, array_to_string(nodes, ',') AS reasoning_path, cited_article_ids, v.decision AS verification_decision, round(confidence, 6) AS confidence,
+      array_to_string(list_transform(range(1, n + 1), lambda i: 'E' || i), ',') AS citations_used FROM q JOIN verdict v USING (question_id) JOIN said USING (question_id) LEFT JOIN (SELECT question_id, nodes FROM ver WHERE path_id = 0) USING (question_id)
+      LEFT JOIN (SELECT question_id, string_agg(rule_id, ',' ORDER BY rank) AS retrieved_rule_ids FROM evidence GROUP BY 1) USING (question_id) LEFT JOIN (SELECT question_id, string_agg(event_id, ',' ORDER BY seed_rank) AS retrieved_event_ids FROM seeds GROUP BY 1) USING (question_id)
+      LEFT JOIN (SELECT question_id, string_agg(article_id, ',' ORDER BY o) AS cited_article_ids FROM (SELECT question_id, article_id, min(evidence_index) AS o FROM pick JOIN rules USING (rule_id) GROUP BY ALL) GROUP BY 1) USING (question_id)""",
 }

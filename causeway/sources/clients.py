@@ -49,17 +49,61 @@ def hosted_chat(url: str, model: str, key: str, temperature: float = 0.1, max_to
     return Chat(url, shape, lambda r: r["choices"][0]["message"]["content"], (("Authorization", f"Bearer {key}"),))
 
 
-def replies(prompts: DataFrame, client, fallback: str | None = None) -> DataFrame:
-    """prompts (id, system_prompt, user_prompt) with reply and error; a failed call gives ``fallback`` or null and the error's text."""
+def content_chat(url: str, key: str, temperature: float = 0.1, max_tokens: int = 1200) -> Chat:
+    """The generate-content form: parts within contents, instructions apart; the key travels in a header."""
+    part = lambda t: {"parts": [{"text": t}]}
+    shape = lambda s, u: {"systemInstruction": part(s), "contents": [{"role": "user", **part(u)}], "generationConfig": {"temperature": temperature, "maxOutputTokens": max_tokens}}
+    return Chat(url, shape, lambda r: "".join(p.get("text", "") for p in r["candidates"][0]["content"]["parts"]), (("x-goog-api-key", key),))
+
+
+@dataclass(frozen=True)
+class Embedder:
+    """An endpoint that embeds texts, a list at a time."""
+
+    url: str
+    model: str
+    timeout: float = 180.0
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        request = urllib.request.Request(self.url, json.dumps({"model": self.model, "input": texts}).encode(), {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+            found = json.load(reply)["embeddings"]
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} vectors for {len(texts)} texts")
+        return found
+
+
+def embedded(rows: DataFrame, client, text: str = "text", batch: int = 16) -> DataFrame:
+    """``rows`` with embedding: ``client.embed`` is asked for ``batch`` texts at a time; a failed call leaves nulls."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out: list = []
+            for at in range(0, len(pdf), batch):
+                texts = [t or "" for t in pdf[text].iloc[at : at + batch]]
+                try:
+                    out += client.embed(texts)
+                except (OSError, ValueError, KeyError):
+                    out += [None] * len(texts)
+            yield pdf.assign(embedding=out)
+
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInPandas(ask, f"{columns}, embedding array<double>")
+
+
+def replies(prompts: DataFrame, client, fallback: str | None = None, fallback_column: str | None = None) -> DataFrame:
+    """prompts (id, system_prompt, user_prompt) with reply and error; a failed call gives the row's ``fallback_column`` (an extractive
+    answer, say), or ``fallback``, or null, and the error's text."""
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for s, u in zip(pdf["system_prompt"], pdf["user_prompt"]):
+            instead = pdf[fallback_column] if fallback_column else [fallback] * len(pdf)
+            for s, u, other in zip(pdf["system_prompt"], pdf["user_prompt"], instead):
                 try:
                     out.append((client.generate(s or "", u or ""), None))
                 except Exception as e:  # noqa: BLE001 - whatever a client raises belongs to its row
-                    out.append((fallback, f"{type(e).__name__}: {e}"))
+                    out.append((other, f"{type(e).__name__}: {e}"))
             yield pdf.assign(reply=[x for x, _ in out], error=[e for _, e in out])
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields)
