@@ -162,3 +162,8 @@ def without_thoughts(x: Column) -> Column:
     """A model's reply without its reasoning block and code fences."""
     y = F.regexp_replace(x, r"(?is)<think>.*?</think>", "")
     return strip(F.regexp_replace(y, r"(?i)^\s*```(?:json)?\s*|\s*```\s*$", ""))
+
+
+def utc_now() -> Column:
+    """This moment as ISO text in UTC."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
