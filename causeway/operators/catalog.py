@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import unicodedata
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causeway.functions.text import match_key, without_thoughts
+from causeway.functions.text import match_key, slug, strip, without_thoughts
 
 TOP_K, MIN_SCORE = 8, 0.60
 WEIGHTS = {"jaccard": 0.45, "sequence": 0.35, "containment": 0.20}
@@ -45,58 +47,81 @@ def alias_matches(phrases: DataFrame, catalog: DataFrame, strict: bool = True) -
     return phrases.join(best, "phrase_id", "left")
 
 
-def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
+def search_text() -> Column:
+    """What a catalog event is compared by: its name, description and aliases."""
+    full = lambda c: F.when(strip(F.coalesce(F.col(c), F.lit(""))) != "", F.col(c))
+    return F.concat_ws(" | ", full("event_name"), full("description"), F.filter("aliases", lambda x: strip(x) != ""))
 
 
-def sequence_ratio(a: Column, b: Column) -> Column:
-    return F.pandas_udf(_ratios, "double")(a, b)
+def match_text(text: str) -> str:
+    """``match_key`` of one string."""
+    low = "".join(c for c in unicodedata.normalize("NFD", text.lower().replace("đ", "d")) if unicodedata.category(c) != "Mn")
+    return " ".join("".join(c if "a" <= c <= "z" or "0" <= c <= "9" else " " for c in low).split())
 
 
-def lexical(a: Column, b: Column, sequence: Column) -> Column:
+def word_score(a: set[str], b: set[str]) -> float:
+    """Token Jaccard and containment, weighted: what the lexical score is without the character sequence."""
+    both = len(a & b)
+    return WEIGHTS["jaccard"] * both / len(a | b) + WEIGHTS["containment"] * both / min(len(a), len(b)) if a and b else 0.0
+
+
+def lexical_score(a: str, b: str) -> float:
     """Of match keys: token Jaccard, character sequence and containment, weighted; 0 if either is blank."""
-    words = lambda x: F.array_distinct(F.filter(F.split(x, " "), lambda t: t != ""))
-    p, q = words(a), words(b)
-    both = F.size(F.array_intersect(p, q))
-    jaccard = F.try_divide(both, F.size(F.array_union(p, q)))
-    inside = F.try_divide(both, F.least(F.size(p), F.size(q)))
-    return F.when((a == "") | (b == ""), 0.0).otherwise(WEIGHTS["jaccard"] * F.coalesce(jaccard, F.lit(0.0)) + WEIGHTS["sequence"] * sequence + WEIGHTS["containment"] * F.coalesce(inside, F.lit(0.0)))
+    return word_score(set(a.split()), set(b.split())) + WEIGHTS["sequence"] * SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+
+
+def lexical(a: Column, b: Column) -> Column:
+    return F.pandas_udf(_lexical, "double")(a, b)
+
+
+def _lexical(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([lexical_score(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+
+
+EVENTS_OF_A_BLOCK, PHRASES_OF_A_SLICE = 20_000, 2_000
 
 
 def ranked_candidates(phrases: DataFrame, catalog: DataFrame, top_k: int = TOP_K, strict: bool = True) -> DataFrame:
-    """The ``top_k`` catalog events of each phrase by lexical score (six digits), in catalog order among equals.
+    """The ``top_k`` catalog events of each phrase by score, in catalog order among equals; scores are given to six digits, but ranked as they are.
 
-    Every phrase meets every event: the catalog is small and grows with the subject, not with the corpus,
-    but is not assumed to fit a broadcast. Events are dealt into blocks, phrases are sent to each block, and
-    a block keeps ``top_k`` of a phrase. Words are compared first; the slow character ratio is worked out only
-    where the score could still reach the block's best ``top_k``.
+    The score is lexical; where ``phrases`` and ``catalog`` have a vector and the phrase's is not null, it is 0.75 of the cosine (0 without an
+    event's vector) and 0.25 of the lexical one. Every phrase meets every event: the catalog grows with the subject, not with the
+    corpus, but is not assumed to fit a broadcast. Events are dealt into blocks, phrases into slices by their number, and a
+    task keeps ``top_k`` of a phrase. Words and cosines are compared first; the slow character ratio is worked out only
+    where the score could still reach the task's best ``top_k``.
     """
-    blocks = max(1, -(-catalog.count() // 20_000))
-    c = catalog.select("cat_pos", "event_id", "event_type", match_key(F.concat_ws(" | ", "event_name", "description")).alias("_ck"), F.pmod("cat_pos", F.lit(blocks)).cast("int").alias("_cb"))
-    p = phrases.select("phrase_id", "role", "excluded", match_key(F.col("phrase")).alias("_pk")).withColumn("_pb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    p = p.withColumn("_slice", F.pmod(F.xxhash64("phrase_id"), F.lit(64)).cast("int"))
-    c = c.withColumn("_cs", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    blocks, slices = (max(1, -(-df.count() // most)) for df, most in ((catalog, EVENTS_OF_A_BLOCK), (phrases, PHRASES_OF_A_SLICE)))
+    blend = "vector" in phrases.columns and "vector" in catalog.columns
+    vector = lambda name: (F.col("vector") if blend else F.lit(None)).cast("array<double>").alias(name)
+    c = catalog.select("cat_pos", "event_id", "event_type", match_key(search_text()).alias("_ck"), vector("_cv"), F.pmod("cat_pos", F.lit(blocks)).cast("int").alias("_cb"))
+    p = phrases.select("phrase_id", "role", "excluded", match_key(F.col("phrase")).alias("_pk"), vector("_pv")).withColumn("_pb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    p = p.withColumn("_slice", F.pmod(F.xxhash64("phrase_id"), F.lit(slices)).cast("int"))
+    c = c.withColumn("_cs", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+
+    def unit(v) -> np.ndarray | None:
+        v = None if v is None else np.asarray(v, np.float64)
+        return None if v is None or not len(v) or not (n := float(np.sqrt(v @ v))) else v / n
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("cat_pos", kind="stable")
-        events = [(pos, e, (t or "").upper(), k, set(k.split())) for pos, e, t, k in zip(right["cat_pos"], right["event_id"], right["event_type"], right["_ck"])]
+        events = [(pos, e, (t or "").upper(), k, set(k.split()), unit(v)) for pos, e, t, k, v in zip(right["cat_pos"], right["event_id"], right["event_type"], right["_ck"], right["_cv"])]
         out = []
-        for phrase, role, excluded, key in zip(left["phrase_id"], left["role"], left["excluded"], left["_pk"]):
-            own, banned = set(key.split()), set(excluded) if excluded is not None else set()
+        for phrase, role, excluded, key, v in zip(left["phrase_id"], left["role"], left["excluded"], left["_pk"], left["_pv"]):
+            own, banned, v = set(key.split()), set(excluded) if excluded is not None else set(), unit(v)
             allowed = ROLE_TYPES.get((role or "").upper()) if strict else None
+            share = LEXICAL if v is not None else 1.0
             bound = []
-            for pos, e, kind, ck, words in events:
+            for pos, e, kind, ck, words, u in events:
                 if e in banned or (allowed is not None and kind not in allowed):
                     continue
-                both = len(own & words)
-                part = WEIGHTS["jaccard"] * both / len(own | words) + WEIGHTS["containment"] * both / min(len(own), len(words)) if own and words else 0.0
-                bound.append((part, pos, e, ck))
+                near = EMBEDDING * float(v @ u) if v is not None and u is not None and len(u) == len(v) else 0.0
+                bound.append((near + share * word_score(own, words), pos, e, ck))
             bound.sort(key=lambda x: (-x[0], x[1]))
             kept: list[tuple[float, int, str]] = []
             for part, pos, e, ck in bound:
-                if len(kept) >= top_k and round(part + WEIGHTS["sequence"], 6) < kept[-1][0]:
+                if len(kept) >= top_k and part + share * WEIGHTS["sequence"] < kept[-1][0]:
                     break
-                score = round(part + WEIGHTS["sequence"] * SequenceMatcher(None, key, ck).ratio(), 6) if key and ck else 0.0
+                score = part + share * WEIGHTS["sequence"] * SequenceMatcher(None, key, ck).ratio() if key and ck else part
                 kept.append((score, pos, e))
                 kept.sort(key=lambda x: (-x[0], x[1]))
                 del kept[top_k:]
@@ -105,7 +130,7 @@ def ranked_candidates(phrases: DataFrame, catalog: DataFrame, top_k: int = TOP_K
 
     found = p.groupBy("_pb", "_slice").cogroup(c.groupBy("_cb", "_cs")).applyInPandas(best, "phrase_id bigint, cat_pos bigint, event_id string, score double")
     rank = F.row_number().over(Window.partitionBy("phrase_id").orderBy(F.desc("score"), "cat_pos"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= top_k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= top_k).withColumn("score", F.round("score", 6))
 
 
 def decided(phrases: DataFrame, matches: DataFrame, candidates: DataFrame, decisions: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
@@ -135,6 +160,145 @@ def merged_catalog(catalog: DataFrame, uses: DataFrame) -> DataFrame:
     return catalog.select("event_id", "cat_pos").join(aliases, "event_id", "left").join(articles, "event_id", "left")
 
 
+# The type of a new event whose own is none of the known, by role, and the sentence that describes one without a description.
+FALLBACK_TYPES = {"condition": "LEGAL_CONDITION", "effect": "LEGAL_CONSEQUENCE"}
+DESCRIBED = "Sự kiện pháp lý chuẩn hóa từ cụm: {}."
+
+
+def spaced(text: str | None) -> str:
+    return " ".join((text or "").split())
+
+
+def slug_text(text: str) -> str:
+    return match_text(text).replace(" ", "_") or "su_kien"
+
+
+def grow(phrases: list[dict], events: list[dict], strict: bool = True, min_score: float = MIN_SCORE) -> tuple[list[dict], list[dict]]:
+    """What becomes of each phrase, in order, while the catalog grows with them: (mappings, events in catalog order).
+
+    A phrase is an alias of an event, or goes to the existing event that was decided on, or makes a new one. An effect never goes to the
+    event of its rule's condition. The first of several events that fit is that of the smallest place in the catalog.
+    """
+    by_key: dict[str, set[int]] = {}
+    by_id = {e["event_id"]: k for k, e in enumerate(events)}
+    for k, e in enumerate(events):
+        for name in (e["event_name"], *e["aliases"]):
+            by_key.setdefault(match_text(name), set()).add(k)
+    by_key.pop("", None)
+    fits = lambda role, e: not strict or role.upper() not in ROLE_TYPES or e["event_type"].upper() in ROLE_TYPES[role.upper()]
+    of_condition: dict[str, str] = {}
+    out = []
+
+    def named(k: int, names: list[str]) -> None:
+        for name in map(spaced, names):
+            if name and (key := match_text(name)) not in {match_text(x) for x in events[k]["aliases"]}:
+                events[k]["aliases"].append(name)
+                if key:
+                    by_key.setdefault(key, set()).add(k)
+
+    for p in sorted(phrases, key=lambda p: p["ord"]):
+        role, phrase = p["role"], spaced(p["phrase"])
+        banned = {of_condition[p["rule"]]} if role == "effect" and p["rule"] in of_condition else set()
+        hits = [k for k in sorted(by_key.get(match_text(phrase), ())) if fits(role, events[k]) and events[k]["event_id"] not in banned]
+        chosen = by_id.get(p["selected_event_id"]) if p["action"] == "USE_EXISTING" else None
+        names, reason = [p["canonical_alias"] or phrase, phrase], ""
+        if hits:
+            how, k = "ALIAS", hits[0]
+        else:
+            if p["action"] != "USE_EXISTING":
+                reason = "decided"
+            elif chosen is None or (p["score"] is None and chosen < p["known"]):
+                reason = "not a candidate"
+            elif events[chosen]["event_id"] in banned:
+                reason = "the condition's event"
+            elif not fits(role, events[chosen]):
+                reason = "type does not fit the role"
+            else:
+                e = events[chosen]
+                score = p["score"] if p["score"] is not None else round(lexical_score(match_text(phrase), match_text(" | ".join(x for x in (e["event_name"], e["description"], *e["aliases"]) if x))), 6)
+                reason = "" if score >= min_score else "score below the floor"
+            if not reason:
+                how, k = "USE_EXISTING", chosen
+                named(k, names)
+            else:
+                how, k = "CREATE_NEW", len(events)
+                name = spaced(p["event_name"]) or phrase
+                base = made = slug_text(name)
+                suffix = 1
+                while made in by_id:
+                    suffix += 1
+                    made = f"{base}_{suffix}"
+                kind = spaced(p["event_type"]).upper()
+                events.append({"cat_pos": None, "event_id": made, "event_name": name, "event_type": kind if kind in EVENT_TYPES else FALLBACK_TYPES.get(role, FALLBACK_TYPES["effect"]), "description": spaced(p["description"]) or DESCRIBED.format(phrase), "aliases": [], "source_article_ids": [], "occurrences": [], "status": "CANDIDATE", "made_at": p["ord"]})
+                by_id[made] = k
+                if match_text(name):
+                    by_key.setdefault(match_text(name), set()).add(k)
+                named(k, names)
+        e = events[k]
+        if p["article_id"] is not None:
+            e["source_article_ids"] = sorted({*e["source_article_ids"], p["article_id"]})
+        if (seen := (p["article_id"], p["rule_index"], role)) not in e["occurrences"]:
+            e["occurrences"].append(seen)
+        if role == "condition":
+            of_condition[p["rule"]] = e["event_id"]
+        out.append({"phrase_id": p["phrase_id"], "how": how, "event_id": e["event_id"], "reason": reason})
+    return out, events
+
+
+GROWN = "kind string, phrase_id bigint, how string, reason string, cat_pos bigint, event_id string, event_name string, event_type string, description string, aliases array<string>, source_article_ids array<bigint>, occurrences array<struct<article_id: bigint, rule_index: bigint, role: string>>, status string, made_at bigint"
+
+
+GROWN_NAMES = ["kind", "phrase_id", "how", "reason", "cat_pos", "event_id", "event_name", "event_type", "description", "aliases", "source_article_ids", "occurrences", "status", "made_at"]
+
+
+def grown_catalog(phrases: DataFrame, catalog: DataFrame, decisions: DataFrame, candidates: DataFrame, strict: bool = True, min_score: float = MIN_SCORE) -> tuple[DataFrame, DataFrame]:
+    """(phrase_id, how, event_id, reason) and the catalog afterwards, with made_at: the phrase's ord for events that are new.
+
+    phrases: phrase_id, ord, phrase, role, rule, article_id, rule_index. decisions: phrase_id, action, selected_event_id, event_name, description,
+    event_type, canonical_alias: a model's answers. candidates: of the catalog as it was; a new event is scored when it is chosen.
+    Phrases act on each other by what they are called, the events they choose, the ids they would make and their rules. What is
+    connected so is a component and is worked off in order in one task; a component may be large where everything is connected.
+    """
+    from causeway.operators.graph import weak_components
+    from causeway.plans.stage import stage
+
+    scored = candidates.select("phrase_id", F.col("event_id").alias("selected_event_id"), "score")
+    p = phrases.select("phrase_id", "ord", "phrase", "role", F.col("rule").cast("string").alias("rule"), F.col("article_id").try_cast("bigint").alias("article_id"), F.col("rule_index").try_cast("bigint").alias("rule_index"))
+    p = p.join(decisions.select("phrase_id", "action", "selected_event_id", "event_name", "description", "event_type", "canonical_alias"), "phrase_id", "left").join(scored, ["phrase_id", "selected_event_id"], "left")
+    node = lambda kind, x: F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(f"{kind}:"), x))
+    made = slug(F.coalesce(F.nullif(strip(F.col("event_name")), F.lit("")), F.col("phrase")))
+    tied = F.array_compact(F.array(*(node("k", match_key(F.col(c))) for c in ("phrase", "canonical_alias", "event_name")), node("e", F.col("selected_event_id")), node("i", made), node("r", F.col("rule"))))
+    e = catalog.select("cat_pos", "event_id", "event_name", "event_type", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+    names = F.transform(F.concat(F.array("event_name"), "aliases"), lambda x: node("k", match_key(x)))
+    held = F.array_compact(F.concat(names, F.array(node("e", F.col("event_id")), node("i", F.col("event_id")), node("i", F.regexp_replace("event_id", r"_[0-9]+$", "")))))
+    p, e = stage(p.withColumns({"_node": F.concat(F.lit("p:"), "phrase_id"), "_tied": tied}), "phrases"), stage(e.withColumns({"_node": F.concat(F.lit("e:"), "event_id"), "_tied": held}), "events")
+    edges = stage(p.select(F.col("_node").alias("src"), F.explode("_tied").alias("dst")).unionByName(e.select(F.col("_node").alias("src"), F.explode("_tied").alias("dst"))).where("src <> dst").distinct(), "ties")
+    nodes = edges.select(F.col("src").alias("event_id")).union(edges.select("dst")).distinct()
+    of = weak_components(nodes, edges).select(F.col("event_id").alias("_node"), F.col("component").alias("_c"))
+    known = catalog.count()
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = lambda x: None if x is None or x != x else x
+        number = lambda x: None if none(x) is None else int(x)
+        events = [{**{k: r[k] for k in ("event_id", "event_name", "event_type", "description")}, "cat_pos": int(r["cat_pos"]), "aliases": list(r["aliases"]), "source_article_ids": [], "occurrences": [], "status": "CANDIDATE", "made_at": None} for r in right.sort_values("cat_pos").to_dict("records")]
+        rows = [{**{k: none(r[k]) for k in ("action", "selected_event_id", "event_name", "description", "event_type", "canonical_alias", "score")}, "phrase_id": r["phrase_id"], "ord": int(r["ord"]), "phrase": r["phrase"], "role": r["role"], "rule": r["rule"], "article_id": number(r["article_id"]), "rule_index": number(r["rule_index"]), "known": len(events)} for r in left.to_dict("records")]
+        mapped, events = grow(rows, events, strict, min_score)
+        out = [{"kind": "phrase", **m} for m in mapped]
+        out += [{"kind": "event", **x, "occurrences": [dict(zip(("article_id", "rule_index", "role"), o)) for o in x["occurrences"]]} for x in events]
+        return pd.DataFrame([[x.get(c) for c in GROWN_NAMES] for x in out], columns=GROWN_NAMES, dtype=object)
+
+    found = stage(p.join(of, "_node").groupBy("_c").cogroup(e.join(of.withColumnRenamed("_c", "_d"), "_node").groupBy("_d")).applyInPandas(run, GROWN), "grown")
+    place = Window.orderBy("made_at")  # of the new events alone
+    new = found.where("kind = 'event' AND made_at IS NOT NULL").withColumn("cat_pos", F.lit(known) + F.row_number().over(place))
+    events = found.where("kind = 'event' AND made_at IS NULL").unionByName(new).drop("kind", "phrase_id", "how", "reason")
+    return found.where("kind = 'phrase'").select("phrase_id", "how", "event_id", "reason"), events
+
+
+def catalog_statistics(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: events before and after, and how many were created."""
+    return before.agg(F.count(F.lit(1)).alias("n_before")).crossJoin(after.agg(F.count(F.lit(1)).alias("n_after"))).withColumn("n_created", F.col("n_after") - F.col("n_before"))
+
+
 def balanced(text: str, opening: str, closing: str) -> str | None:
     """The first stretch from ``opening`` to its own ``closing``; brackets within strings do not count."""
     start = text.find(opening)

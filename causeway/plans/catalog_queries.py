@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.functions.text import match_key
 from causeway.operators import catalog as C
 from causeway.operators import rules as R
 from causeway.plans.bindings import RULES, raw_rules, table
@@ -58,11 +59,39 @@ def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("cat_pos", "role", C.compatible(F.col("role"), F.col("event_type")).alias("fits"))
 
 
+def rule_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two phrases of a rule for each part. Conditions are names and brands, or types; effects are brands, and for some parts the condition once more."""
+    k, name = F.col("p_partkey"), F.concat(F.upper("p_name"), F.lit(" -- "), "p_brand", F.lit("!"))
+    condition = F.when(F.col("p_size") < 25, name).otherwise(F.col("p_type"))
+    sides = F.array(F.struct(F.lit("condition").alias("role"), condition.alias("phrase"), F.lit(0).alias("o")), F.struct(F.lit("effect").alias("role"), F.when(k % 10 == 0, condition).otherwise(F.col("p_brand")).alias("phrase"), F.lit(1).alias("o")))
+    rows = table(spark, sf_dir, "part").select(k, "p_size", F.explode(sides).alias("s"))
+    return rows.select((k * 2 + F.col("s.o")).alias("phrase_id"), (k * 2 + F.col("s.o")).alias("ord"), "s.phrase", "s.role", k.alias("rule"), F.col("p_size").alias("article_id"), k.alias("rule_index"), F.array().cast("array<string>").alias("excluded"))
+
+
+def rule_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in for a model: every seventh rule chooses the part before, every fifth names its new event by the brand."""
+    text = lambda x: x.cast("string")
+    rows = rule_phrases(spark, sf_dir)
+    return rows.select("phrase_id", F.when(F.col("rule") % 7 == 0, "USE_EXISTING").otherwise("CREATE_NEW").alias("action"), F.when(F.col("rule") % 7 == 0, F.concat(F.lit("part_"), F.col("rule") - 1)).alias("selected_event_id"),
+                       F.when(F.col("rule") % 5 == 0, F.concat(F.lit("Nhãn "), F.substring("phrase", 1, 6))).alias("event_name"), text(F.lit(None)).alias("description"), F.when(F.col("rule") % 3 == 0, "STATE").otherwise("unknown").alias("event_type"), text(F.lit(None)).alias("canonical_alias"))
+
+
+def grown(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows, asked, events = rule_phrases(spark, sf_dir), rule_decisions(spark, sf_dir), catalog(spark, sf_dir)
+    # Only what was chosen is scored: the stand-in takes no other candidate.
+    chosen = asked.where("selected_event_id IS NOT NULL").join(rows.select("phrase_id", "phrase"), "phrase_id").join(events.withColumn("_t", C.search_text()).select(F.col("event_id").alias("selected_event_id"), "_t"), "selected_event_id")
+    scored = chosen.select("phrase_id", F.col("selected_event_id").alias("event_id"), F.round(C.lexical(match_key(F.col("phrase")), match_key(F.col("_t"))), 6).alias("score"))
+    return C.grown_catalog(rows, events, asked, scored, min_score=0.3)
+
+
 QUERIES = {
     "alias_match": lambda s, d: C.alias_matches(phrases(s, d), catalog(s, d)).select("phrase_id", "event_id"),
     "role_filter": roles,
     "candidate_rank": lambda s, d: C.ranked_candidates(words(s, d), catalog(s, d)),
     "catalog_decisions": decisions,
+    "catalog_create": lambda s, d: grown(s, d)[0],
+    "catalog_grown": lambda s, d: grown(s, d)[1].select("cat_pos", "event_id", "event_name", "event_type", "description", F.array_join("aliases", "|").alias("aliases"), F.array_join(F.col("source_article_ids").cast("array<string>"), ",").alias("article_ids"), F.size("occurrences").alias("n_occurrences"), "made_at"),
+    "catalog_stats": lambda s, d: C.catalog_statistics(catalog(s, d), grown(s, d)[1]),
     "catalog_merge": merged,
     "json_rules_payload": lambda s, d: C.rules_from_replies(replies(s, d)).select("event_id", "pos", "rule_json"),
     "resume_merge": resumed,
