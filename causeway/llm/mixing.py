@@ -24,7 +24,7 @@ TARGETS: dict[str, dict[str, float]] = {
 SWEEPS, SWEEPS_AT_ONCE = 12, 3
 #: The share of the tokens that a cell keeps if it is as large as its calibrated share.
 RATE = 0.6
-#: More cells than this would not be a bounded broadcast.
+#: More cells than this are not broadcast but joined by a shuffle.
 MOST_CELLS = 100_000
 
 
@@ -95,19 +95,19 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, topic:
     depends on the id alone, so repeated rows share it; a null id draws like an empty one. ``topic`` is
     an expression over ``docs`` (default: the form of the text by its length). Columns that clash with
     the results are replaced, those that begin with an underscore dropped; an empty table stays empty.
+    Texts of any length are counted whole. The cells are as many as the targets' values multiplied at most, whatever the corpus.
     """
     docs = without_reserved(docs)
     cells_most = 1
     for t in targets.values():
         cells_most *= len(t) + 1
-    if cells_most > MOST_CELLS:
-        raise ValueError(f"{cells_most} cells; at most {MOST_CELLS} can be raked and broadcast")
     keyed = docs.withColumn("n_tokens", n_tokens(text_or_empty(text)))
     keyed = keyed.withColumn("topic", topic if topic is not None else form(F.col("n_tokens")))
     keyed = keyed.withColumns({f"_{d}": _class(F.col(d), t) for d, t in targets.items()})
     cells = keyed.where("n_tokens > 0").groupBy(*(F.col(f"_{d}").alias(d) for d in targets)).agg(F.sum("n_tokens").alias("tokens"))
     ratios = raked(cells, targets, sweeps)
-    ratios = F.broadcast(ratios.select(*(F.col(d).alias(f"_c_{d}") for d in targets), F.col("ratio").alias("_ratio")))
+    ratios = ratios.select(*(F.col(d).alias(f"_c_{d}") for d in targets), F.col("ratio").alias("_ratio"))
+    ratios = F.broadcast(ratios) if cells_most <= MOST_CELLS else ratios
     on = [F.col(f"_{d}") == F.col(f"_c_{d}") for d in targets]
     out = keyed.join(ratios, on, "left")
     p = F.when(F.col("n_tokens") > 0, F.least(F.lit(1.0), F.lit(rate) * F.coalesce("_ratio", F.lit(0.0)))).otherwise(F.lit(0.0))

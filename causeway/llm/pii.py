@@ -248,25 +248,29 @@ def disguised(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, i
             own = [] if "@" in m[0] else own
             edits += sorted(own + [(x.start(), x.end(), ".") for x in WORD_DOT.finditer(now.text, *m.span())])
         now.replace(edits)
-    added = []
+    first_found, second_found = _shown(now, text), []
     if odd or spelled:
         edits, numbers = _unspelled(now.text)
         for a, b in numbers:
             digits = "".join(new for _, _, new in edits[a:b])
             if not (12 <= len(digits) and luhn(digits)):
-                added.append((int(now.start[edits[a][0]]), 3, int(now.end[edits[b - 1][1] - 1])))
+                second_found.append((int(now.start[edits[a][0]]), 3, int(now.end[edits[b - 1][1] - 1])))
         now.replace(edits)
-    if not now.changed.any():
-        # Nothing is written anew, but characters may be gone: those left beside each other show it.
-        if len(now.text) == len(text):
-            return added
-    gap = np.r_[False, now.start[1:] != now.end[:-1]]
-    added += [(int(now.start[a]), k, int(now.end[b - 1])) for a, k, b in plain(now.text) if now.changed[a:b].any() or gap[a + 1 : b].any()]
+        second_found += _shown(now, text)
+    # What shows before numbers are put together comes first: a number in words beside it must not swallow it.
     kept: list[tuple[int, int, int]] = []
-    for a, k, b in sorted(set(added)):
+    for a, k, b in [*sorted(set(first_found)), *sorted(set(second_found))]:
         if all(b <= x or a >= y for x, _, y in known) and all(b <= x or a >= y for x, _, y in kept):
             kept.append((a, k, b))
-    return kept
+    return sorted(kept)
+
+
+def _shown(now: Rewritten, text: str) -> list[tuple[int, int, int]]:
+    """What the detectors find in the rewritten text that the source does not show: with a changed character, or with some gone between."""
+    if not now.changed.any() and len(now.text) == len(text):
+        return []
+    gap = np.r_[False, now.start[1:] != now.end[:-1]]
+    return [(int(now.start[a]), k, int(now.end[b - 1])) for a, k, b in plain(now.text) if now.changed[a:b].any() or gap[a + 1 : b].any()]
 
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("added", pa.bool_())])

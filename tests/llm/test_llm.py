@@ -118,6 +118,99 @@ def test_raking_meets_the_marginals(spark):
     assert sum(v for (_, b), v in share.items() if b == "p") == pytest.approx(0.25)
 
 
+def shares(rows, of):
+    total = Counter()
+    for r in rows:
+        total[of(r)] += r.n_tokens
+    return {k: n / sum(total.values()) for k, n in total.items()}
+
+
+def test_the_drawn_sample_meets_the_production_targets(spark):
+    """After the registered sweeps the expected shares are the targets', and the drawn ones are near them."""
+    rnd = random.Random(30)
+    rows = [(k, prose(rnd, rnd.choice([40, 300, 2500])), rnd.choices(["en", "de", "fr", "es", None], [5, 3, 3, 2, 1])[0], f"src{rnd.choice([0, 0, 0, 1, 2, 3, 4, 5, 6, 9])}") for k in range(1500)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    cells = Counter()
+    for r in got:
+        cells[r.source if r.source in mixing.TARGETS["source"] else "*", r.lang if r.lang in mixing.TARGETS["lang"] else "*", r.topic] += r.n_tokens
+    tokens = spark.createDataFrame([(*k, n) for k, n in cells.items()], "source string, lang string, topic string, tokens long")
+    raked = mixing.raked(tokens, mixing.TARGETS, mixing.SWEEPS).collect()
+    total = sum(cells.values())
+    for d, targets in mixing.TARGETS.items():
+        share = Counter()
+        for r in raked:
+            share[r[d]] += r.ratio * cells[r.source, r.lang, r.topic] / total
+        assert all(share[k] == pytest.approx(v, abs=0.005) for k, v in targets.items()), (d, share)
+    drawn = shares([r for r in got if r.kept], lambda r: r.lang if r.lang in mixing.TARGETS["lang"] else "*")
+    before = shares(got, lambda r: r.lang if r.lang in mixing.TARGETS["lang"] else "*")
+    away = lambda x: sum(abs(x.get(k, 0) - v) for k, v in mixing.TARGETS["lang"].items())
+    assert away(drawn) < away(before) and away(drawn) < 0.2
+
+
+def test_many_cells_are_joined_without_a_broadcast(docs, monkeypatch):
+    want = sorted((r.doc_id or -1, r.text or "", r.p, r.kept) for r in mixing.mix(docs).collect())
+    monkeypatch.setattr(mixing, "MOST_CELLS", 1)
+    assert sorted((r.doc_id or -1, r.text or "", r.p, r.kept) for r in mixing.mix(docs).collect()) == want
+
+
+def test_columns_that_clash_and_repeated_rows(spark, docs):
+    """Mixing, language ID and PII replace their own columns, drop reserved ones and give equal rows equal results."""
+    odd = docs.withColumns({c: F.lit("mine") for c in ("p", "topic", "n_tokens", "pii", "spans", "n_email", "lang_pred", "score", "_text", "_ratio")})
+    model = language_id.train(docs)
+    for out in (mixing.mix(odd), language_id.identify(odd, model), pii.find_pii(odd, digests=True)):
+        rows = [(r.doc_id, r.text, repr(r)) for r in out.collect()]
+        assert len(rows) == docs.count() and not any(c.startswith("_") for c in out.columns) and len(set(out.columns)) == len(out.columns)
+        assert len({x for x in rows if x[0] == 3}) == 1 and sum(x[0] == 3 for x in rows) == 2
+    row = pii.find_pii(odd, digests=True).first()
+    assert isinstance(row.pii, list) and isinstance(row.n_email, int)
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(31)
+    text = prose(rnd, 400_000) + " jane@example.com 192[.]168[.]1[.]1"
+    df = spark.createDataFrame([(1, text, "aa"), (2, "kurz", "bb")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    assert [(s.kind, text[s.start : s.end]) for s in got[1].pii] == [("email", "jane@example.com"), ("ip", "192[.]168[.]1[.]1")] and got[2].pii == []
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(df, language_id.train(df)).collect()} == {1: "aa", 2: "bb"}
+
+
+def test_ids_that_repeat_with_another_text(spark):
+    """The row with the smaller hash of its text, or the smaller start, is the earlier one: one of the two keeps what they share."""
+    shared = "\n".join(f"shared line {k} " + "x" * 60 for k in range(5))
+    rows = [(7, f"{shared}\nfirst"), (7, f"{shared}\nsecond"), (8, f"third\n{shared}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.text.split("\n")[-1] if r.doc_id == 7 else "third": r.n_removed for r in line_dedup.line_dedup(df).collect()}
+    assert sorted([got["first"], got["second"]]) == [0, 5] and got["third"] == 5
+    cut = [(r.doc_id, r.n_removed) for r in suffix_dedup.repeated_strings(df).collect()]
+    assert len(cut) == 3 and all(n >= len(shared) for i, n in cut if i == 8)
+
+
+def naive_spans(text):
+    """Base and added spans of one text, as the operator's parts give them, put together anew."""
+    base = naive(text)
+    added = pii.disguised(text, base)
+    every = sorted([*base, *added])
+    said = lambda xs: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in xs)
+    return [sum(k == j for _, k, _ in base) for j in range(4)], hashlib.sha256(said(base).encode()).hexdigest(), said(every)
+
+
+def test_pii_columns_against_the_patterns(spark):
+    rnd = random.Random(32)
+    pieces = ["a@b.cd", "x.y@d-e.org", "1.2.3.4", "255.255.255.256", "+49 (30) 123-456 78", "4111 1111 1111 1111", "jane [at] example [dot] com", "hello", "one two three", "10[.]0[.]0[.]1", "jоhn@example.com", "\U0001f600", "é"]
+    texts = [rnd.choice([" ", ", ", "\n"]).join(rnd.choices(pieces, k=rnd.randrange(1, 9))) for _ in range(300)]
+    got = pii.find_pii(spark.createDataFrame([(t,) for t in texts], "text string"), digests=True).collect()
+    for r in got:
+        counts, base, spans = naive_spans(r.text)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == counts and r.base_sha256 == base and r.spans == spans
+        found = {(s.kind, s.start, s.end) for s in r.pii}
+        assert all(r.text[s.start : s.end].strip() == r.text[s.start : s.end] for s in r.pii) and len(found) == len(r.pii)
+    # Every disguise that was planted is found where it stands, whole or by a base span within it, which stays.
+    for r in got:
+        for piece in ("jane [at] example [dot] com", "10[.]0[.]0[.]1", "jоhn@example.com"):
+            for m in re.finditer(re.escape(piece), r.text):
+                assert any(s.start < m.end() and m.start() < s.end for s in r.pii), (piece, r.text)
+
+
 def test_bpe_round_trip(docs, empty):
     import public_tokenizers
     import tiktoken
