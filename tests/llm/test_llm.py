@@ -64,9 +64,21 @@ def test_exact(docs, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+@pytest.fixture(scope="module")
+def lined(spark):
+    """Lines of all lengths, blank ones among them, between ever other neighbours; repeated rows, texts of one line, columns that clash."""
+    rnd = random.Random(8)
+    pool = ["a", "bb", "", " ", " " * 50, "39 characters of text, one too few, yes.", "x" * 39, "x" * 40, " " + "y" * 40 + "  ", "é" * 40, "boilerplate " * 5, "a license of some kind, version 3, or later"]
+    rows = [(i, "\n".join(rnd.choice(pool) if rnd.random() < 0.6 else f"own line {rnd.randrange(10**6)}" for _ in range(rnd.randrange(1, 9))), "en", "s", 1, "x", "y") for i in range(3, 60)]
+    return spark.createDataFrame([*rows, rows[5], (60, "x" * 40, None, None, 1, "x", "y"), (61, None, None, None, 1, "x", "y")], DOC).repartition(4).cache()
+
+
+@pytest.mark.parametrize("table", ["docs", "lined"])
+@pytest.mark.parametrize("alone", [None, 5, 40])
 @pytest.mark.parametrize("run", [2, 3])
-def test_lines(docs, empty, run):
-    got = line_dedup.line_dedup(docs, run=run).collect()
+def test_lines(request, empty, run, alone, table):
+    docs = request.getfixturevalue(table)
+    got = line_dedup.line_dedup(docs, run=run, alone=alone).collect()
     assert len(got) == docs.count()
     places = defaultdict(list)
     rows = [(r.doc_id, r.text) for r in got if r.doc_id != 2]
@@ -76,6 +88,9 @@ def test_lines(docs, empty, run):
             w = "\n".join(lines[s : s + run])
             if w.replace(" ", "").replace("\n", ""):
                 places[w].append((order((i,)), s))
+        for s, x in enumerate(lines):
+            if alone and len(x.strip(" ")) >= alone:
+                places["alone", x].append((order((i,)), s))
     for r in got:
         if r.doc_id == 2:
             continue
@@ -85,7 +100,10 @@ def test_lines(docs, empty, run):
             w = "\n".join(lines[s : s + run])
             if w in places and min(places[w]) < (order((r.doc_id,)), s):
                 gone |= set(range(s, s + run))
-        assert r.n_removed == len(gone) and r.kept_text == "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        gone |= {s for s, x in enumerate(lines) if ("alone", x) in places and min(places["alone", x]) < (order((r.doc_id,)), s)}
+        assert r.n_removed == len(gone) and [k for a, b in r.runs for k in range(a, b + 1)] == sorted(gone)
+        assert all(b + 1 < a for (_, b), (a, _) in zip(r.runs, r.runs[1:]))
+        assert r.n_lines == len(lines) and r.kept_text == "\n".join(x for k, x in enumerate(lines) if k not in gone)
     assert line_dedup.line_dedup(empty).count() == 0
 
 
