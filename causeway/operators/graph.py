@@ -149,20 +149,17 @@ def leaves(edges: DataFrame) -> DataFrame:
 def long_chains(edges: DataFrame, min_nodes: int = 4, max_depth: int = 20) -> DataFrame:
     """Simple paths from roots that cannot go on, or have ``max_depth`` nodes; those of ``min_nodes`` or more.
 
-    The join is unrolled ``max_depth`` - 1 times. A node whose successors are all on the path is an end.
+    One outer join for each further node. A path whose successors are all on it, or that has none, finds no
+    match and comes out of this join and all later ones as it is, so ended and growing paths need only one plan.
     """
     step = edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d"))
-    live = roots(edges).select(F.array("event_id").alias("path"))
-    done = None
+    paths = roots(edges).select(F.array("event_id").alias("path"))
     for depth in range(2, max_depth + 1):
-        on = F.element_at("path", -1) == F.col("_s")
-        grown = live.join(step, on & ~F.array_contains("path", F.col("_d"))).select(F.array_append("path", F.col("_d")).alias("path"))
-        if depth > min_nodes:
-            ended = live.join(step, on & ~F.array_contains("path", F.col("_d")), "left_anti")
-            done = ended if done is None else done.unionByName(ended)
-        live = grown
-    done = live if done is None else done.unionByName(live)
-    return done.where(F.size("path") >= min_nodes).select("path", F.size("path").alias("n_nodes"))
+        unseen = (F.element_at("path", -1) == F.col("_s")) & ~F.array_contains("path", F.col("_d"))
+        paths = paths.join(step, unseen, "left").select(F.when(F.col("_d").isNull(), F.col("path")).otherwise(F.array_append("path", F.col("_d"))).alias("path"))
+        if depth == min_nodes:
+            paths = paths.where(F.size("path") >= min_nodes)
+    return paths.where(F.size("path") >= min_nodes).select("path", F.size("path").alias("n_nodes"))
 
 
 def sorted_chains(chains: DataFrame) -> DataFrame:

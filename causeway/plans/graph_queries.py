@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from causeway.functions import text as T
@@ -44,6 +45,13 @@ def mixed_nodes(spark, d):
     return table(spark, d, "part").select(F.concat(F.when(k % 4 == 0, F.lit("EVENT::")).otherwise(F.lit("n")), k).alias("node_id"), F.when(k % 4 == 1, " event").when(k % 4 == 2, "Event").otherwise("RULE").alias("node_type"))
 
 
+def order_links(spark, d):
+    """Each order and the next one of its customer, by date and key."""
+    by_customer = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    node = F.concat(F.lit("order_"), "o_orderkey")
+    return table(spark, d, "orders").select(node.alias("src"), F.lead(node).over(by_customer).alias("dst")).where("dst IS NOT NULL")
+
+
 QUERIES = {
     "rules_clean": lambda s, d: rules(s, d).select("row_pos", "rule_id", "article_id", "legal_subject", "subject_norm", "condition", "effect", "condition_event", "effect_event"),
     "rule_id_repair": lambda s, d: rules(s, d).select("row_pos", "base_id", "rule_id"),
@@ -78,6 +86,7 @@ QUERIES = {
     "event_modality": lambda s, d: table(s, d, "part").select("p_partkey", F.concat(F.when(F.col("p_size") > 40, "bị ").when(F.col("p_size") > 30, "có thể được ").otherwise(""), "p_name").alias("t")).select("p_partkey", M.modality(F.col("t"))[0].alias("event"), M.modality(F.col("t"))[1].alias("modality")),
     "two_hop_named": lambda s, d: G.two_hop_named(G.two_hop(dag(_edges(s, d))), G.event_names(rules(s, d))),
     "long_chains_sorted": lambda s, d: G.sorted_chains(G.long_chains(dag(_edges(s, d)), CHAIN_NODES, CHAIN_DEPTH)).limit(100).select(F.array_join("path", ">").alias("path"), "n_nodes"),
+    "long_chains_orders": lambda s, d: G.long_chains(order_links(s, d)).select(F.array_join("path", ">").alias("path"), "n_nodes"),
     "path_nodes": lambda s, d: path_nodes(s, d),
     "inferred_ids": lambda s, d: inferred_ids(s, d),
     "event_filter": lambda s, d: G.typed_nodes(mixed_nodes(s, d), "EVENT").select("node_id"),
@@ -135,6 +144,12 @@ SQL = {
         SELECT DISTINCT [src] AS path FROM dedges WHERE src NOT IN (SELECT dst FROM dedges)
         UNION ALL SELECT list_append(path, dst) FROM walk JOIN dedges ON src = path[-1] WHERE len(path) < {CHAIN_DEPTH}
       ) SELECT array_to_string(path, '>') AS path, len(path) AS n_nodes FROM walk WHERE len(path) = {CHAIN_DEPTH} OR (len(path) >= {CHAIN_NODES} AND path[-1] NOT IN (SELECT src FROM dedges)) ORDER BY len(path) DESC, walk.path LIMIT 100""",
+    "long_chains_orders": """WITH RECURSIVE o AS (
+        SELECT 'order_' || o_orderkey AS src, lead('order_' || o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM orders
+      ), e AS (SELECT src, dst FROM o WHERE dst IS NOT NULL), walk AS (
+        SELECT [src] AS path FROM e WHERE src NOT IN (SELECT dst FROM e)
+        UNION ALL SELECT list_append(path, dst) FROM walk JOIN e ON src = path[-1] WHERE len(path) < 20
+      ) SELECT array_to_string(path, '>') AS path, len(path) AS n_nodes FROM walk WHERE len(path) = 20 OR (len(path) >= 4 AND path[-1] NOT IN (SELECT src FROM e))""",
     # An order that every edge follows proves the one; a cycle of two or three the other.
     "is_dag": f"WITH {DAG} SELECT bool_and(substr(src, 6)::BIGINT < substr(dst, 6)::BIGINT) AS is_dag FROM dedges",
     "is_dag_cyclic": f"""WITH {EDGES} SELECT NOT EXISTS (FROM cedges a JOIN cedges b ON a.dst = b.src WHERE b.dst = a.src) AND NOT EXISTS (FROM cedges a JOIN cedges b ON a.dst = b.src JOIN cedges c ON b.dst = c.src WHERE c.dst = a.src) AS is_dag""",

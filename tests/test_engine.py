@@ -75,6 +75,29 @@ def test_long_chains_are_whole_by_default(spark):
     assert [(tuple(r.path), r.n_nodes) for r in G.long_chains(edges).collect()] == [(tuple(f"n{k}" for k in range(7)), 7)]
 
 
+def test_long_chains_against_depth_first_search(spark):
+    """A sparse graph with branches, cycles and a line of 30 nodes, at the defaults and beside them."""
+    import random
+
+    rnd = random.Random(12)
+    pairs = {(f"n{a}", f"n{b}") for a, b in ((rnd.randrange(60), rnd.randrange(60)) for _ in range(75)) if a != b}
+    pairs |= {(f"m{k}", f"m{k + 1}") for k in range(29)} | {("r", "c1"), ("c1", "c2"), ("c2", "c3"), ("c3", "c1")}
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, []).append(b)
+    reached = {b for _, b in pairs}
+
+    def walk(path, deepest):
+        on = [x for x in after.get(path[-1], []) if x not in path] if len(path) < deepest else []
+        return [p for x in on for p in walk((*path, x), deepest)] or [path]
+
+    edges = spark.createDataFrame(sorted(pairs), "src string, dst string").coalesce(1)
+    for least, deepest in ((4, 20), (1, 20), (3, 4), (6, 4)):
+        want = sorted(p for a in after if a not in reached for p in walk((a,), deepest) if len(p) >= least)
+        assert sorted(tuple(r.path) for r in G.long_chains(edges, least, deepest).collect()) == want
+        assert want or least > deepest
+
+
 def test_components_against_union_find(spark):
     import random
 
