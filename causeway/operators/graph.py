@@ -41,9 +41,10 @@ def occurrences(rules: DataFrame) -> DataFrame:
 
 
 def article_nodes(rules: DataFrame) -> DataFrame:
-    out = rules.groupBy("article_id").agg(in_order(F.col("article_title"), F.col("row_pos")).alias("titles"), F.min(F.when(F.col("content") != "", F.struct("row_pos", "content")))["content"].alias("content"))
+    out = rules.groupBy("article_id").agg(F.min(F.when(F.col("content") != "", F.struct("row_pos", "content")))["content"].alias("content"))
+    out = out.join(first_seen(rules, "article_id", {"titles": F.col("article_title")}, "row_pos"), "article_id", "left")
     label = F.when(F.col("article_id") != "", F.concat(F.lit("Điều "), "article_id")).otherwise(F.lit("Không xác định điều luật"))
-    return out.select(F.concat(F.lit("ARTICLE::"), "article_id").alias("node_id"), "article_id", F.array_join("titles", " || ").alias("article_title"), F.coalesce("content", F.lit("")).alias("content"), label.alias("label"))
+    return out.select(F.concat(F.lit("ARTICLE::"), "article_id").alias("node_id"), "article_id", F.coalesce(F.array_join("titles", " || "), F.lit("")).alias("article_title"), F.coalesce("content", F.lit("")).alias("content"), label.alias("label"))
 
 
 def rule_nodes(rules: DataFrame) -> DataFrame:
@@ -72,10 +73,11 @@ def event_facts(rules: DataFrame) -> DataFrame:
 
 
 def subject_nodes(rules: DataFrame) -> DataFrame:
-    out = rules.where("subject_norm <> ''").groupBy("subject_norm").agg(
-        F.min_by("legal_subject", "row_pos").alias("label"), F.array_join(in_order(F.col("legal_subject"), F.col("row_pos")), " || ").alias("texts"),
-        F.count(F.lit(1)).alias("n_rules"), F.size(F.collect_set("article_id")).cast("long").alias("n_articles"))
-    return out.withColumn("node_id", F.concat(F.lit("SUBJECT::"), "subject_norm"))
+    named = rules.where("subject_norm <> ''")
+    out = named.groupBy("subject_norm").agg(F.min_by("legal_subject", "row_pos").alias("label"), F.count(F.lit(1)).alias("n_rules"), F.count_distinct("article_id").alias("n_articles"))
+    texts = first_seen(named, "subject_norm", {"_t": F.col("legal_subject")}, "row_pos")
+    out = out.join(texts, "subject_norm", "left").withColumn("texts", F.coalesce(F.array_join("_t", " || "), F.lit("")))
+    return out.select("subject_norm", "label", "texts", "n_rules", "n_articles", F.concat(F.lit("SUBJECT::"), "subject_norm").alias("node_id"))
 
 
 def all_edges(rules: DataFrame) -> DataFrame:

@@ -27,18 +27,30 @@ def _rounded(x: Column) -> Column:
     return F.round(x, 9)
 
 
-def bounded_paths(seeds: DataFrame, edges: DataFrame, events: DataFrame, direction: str, max_hops: int = MAX_HOPS, max_paths: int = MAX_PATHS) -> DataFrame:
+def neighbours(edges: DataFrame, events: DataFrame, direction: str, max_hops: int = MAX_HOPS, max_paths: int = MAX_PATHS) -> DataFrame:
+    """The steps a path search can take: of each node its first ``max_paths + max_hops`` neighbours in the search's order.
+
+    No more are needed: at most ``max_paths`` children of a path are kept, and fewer than ``max_hops`` neighbours can lie on it
+    already. A hub is thereby cut once, not for each question that reaches it.
+    """
+    near, far = ("src", "dst") if direction == "forward" else ("dst", "src")
+    facts = events.select("event_id", "node_ord", (F.col("is_condition") & F.col("is_effect")).cast("int").alias("bridge"))
+    step = edges.join(facts.withColumnRenamed("event_id", far), far)
+    step = step.select(F.col(near).alias("_near"), F.col(far).alias("_far"), F.col("succ_ord" if direction == "forward" else "node_ord").alias("_ord"), "bridge", "support", F.col("rule_ids").alias("_rules"))
+    place = F.rank().over(Window.partitionBy("_near").orderBy("_ord"))
+    return step.withColumn("_n", place).where(F.col("_n") <= max_paths + max_hops).drop("_n")
+
+
+def bounded_paths(seeds: DataFrame, edges: DataFrame, events: DataFrame, direction: str, max_hops: int = MAX_HOPS, max_paths: int = MAX_PATHS, step: DataFrame | None = None) -> DataFrame:
     """Simple paths from each seed in breadth-first order, at most ``max_paths`` of a seed.
 
-    seeds: question_id, seed_rank, event_id, score. edges: causal_edges. events: event_nodes. The order
+    seeds: question_id, seed_rank, event_id, score. edges: causal_edges. events: event_nodes. step: the
+    ``neighbours`` of this direction, if they are at hand. The order
     within a hop is that of the ordinals along the path: a successor's first edge, a predecessor's first
     sight. Every hop is cut to ``max_paths`` before it grows, which is exact since children keep their
     parents' order and a longer path comes after every shorter one.
     """
-    near, far = ("src", "dst") if direction == "forward" else ("dst", "src")
-    facts = events.select("event_id", "node_ord", (F.col("is_condition") & F.col("is_effect")).cast("int").alias("bridge"))
-    step = edges.join(facts.withColumnRenamed("event_id", far), far)
-    step = step.select(F.col(near).alias("_near"), F.col(far).alias("_far"), F.col("succ_ord" if direction == "forward" else "node_ord").alias("_ord"), "bridge", "support", F.col("rule_ids").alias("_rules"), F.col("article_ids").alias("_articles"))
+    step = neighbours(edges, events, direction, max_hops, max_paths) if step is None else step
     live = seeds.select("question_id", "seed_rank", "event_id", F.col("score").alias("seed_score"), F.array("event_id").alias("nodes"), F.array().cast("array<bigint>").alias("ordvec"),
                         F.array().cast("array<bigint>").alias("supports"), F.array().cast("array<int>").alias("bridges"), F.array().cast("array<array<string>>").alias("step_rules"))
     found = []
@@ -63,10 +75,13 @@ def path_score(seed: Column, supports: Column, bridges: Column, hop: Column) ->
     return clamp((SEED_WEIGHT * seed + SUPPORT_WEIGHT * support + bridge) * F.pow(F.lit(HOP_DECAY), hop - 1) - HOP_PENALTY * (hop - 1))
 
 
-def ranked_paths(seeds: DataFrame, edges: DataFrame, events: DataFrame, max_hops: int = MAX_HOPS, max_paths: int = MAX_PATHS) -> DataFrame:
-    """Both directions of each seed, the best ``max_paths`` of these, and path_id: their order within the question from 0."""
+def ranked_paths(seeds: DataFrame, edges: DataFrame, events: DataFrame, max_hops: int = MAX_HOPS, max_paths: int = MAX_PATHS, steps: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Both directions of each seed, the best ``max_paths`` of these, and path_id: their order within the question from 0.
+
+    steps: ``neighbours`` by direction, if they are at hand.
+    """
     check_arguments(max_hops=max_hops, max_paths=max_paths)
-    both = reduce(DataFrame.unionByName, (bounded_paths(seeds, edges, events, d, max_hops, max_paths) for d in ("forward", "backward")))
+    both = reduce(DataFrame.unionByName, (bounded_paths(seeds, edges, events, d, max_hops, max_paths, (steps or {}).get(d)) for d in ("forward", "backward")))
     both = both.withColumn("graph_score", _rounded(path_score(F.col("seed_score"), F.col("supports"), F.col("bridges"), F.col("hop")))).withColumn("_back", (F.col("direction") == "backward").cast("int"))
     order = [F.desc("graph_score"), "_back", "hop", "ordvec"]
     kept = both.withColumn("_n", F.row_number().over(Window.partitionBy("question_id", "seed_rank").orderBy(*order))).where(F.col("_n") <= max_paths)

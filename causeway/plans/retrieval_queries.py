@@ -84,6 +84,17 @@ class Run:
     def events(self) -> DataFrame:
         return self._events()
 
+    @_built
+    def _forward(self) -> DataFrame:
+        return R.neighbours(self.edges, self.events, "forward")
+
+    @_built
+    def _backward(self) -> DataFrame:
+        return R.neighbours(self.edges, self.events, "backward")
+
+    def steps(self, direction: str) -> DataFrame:
+        return self._forward() if direction == "forward" else self._backward()
+
     @_built
     def _names(self) -> DataFrame:
         return G.event_names(self.rules)
@@ -108,11 +119,11 @@ class Run:
         return self.with_rule(self.hits().where("memory_type = 'RULE'")).where("rule_id IS NOT NULL").select("question_id", "rank", "rule_id", "score")
 
     def bfs(self, direction: str) -> DataFrame:
-        return R.bounded_paths(self.seeds(), self.edges, self.events, direction)
+        return R.bounded_paths(self.seeds(), self.edges, self.events, direction, step=self.steps(direction))
 
     @_once
     def paths(self) -> DataFrame:
-        return R.ranked_paths(self.seeds(), self.edges, self.events)
+        return R.ranked_paths(self.seeds(), self.edges, self.events, steps={d: self.steps(d) for d in ("forward", "backward")})
 
     def candidates(self) -> DataFrame:
         return R.candidate_rules(self.seeds(), self.direct(), self.paths(), self.edges)

@@ -176,6 +176,21 @@ def test_bounded_paths_against_a_queue(spark, direction, cap):
     assert got == want
 
 
+@pytest.mark.parametrize("direction", ["forward", "backward"])
+def test_a_hub_is_cut_without_losing_a_path(spark, direction):
+    pairs = [("s", f"h{i}") for i in range(3)] + [(f"h{i}", f"x{j}") for i in range(3) for j in range(40)] + [(f"h{i}", x) for i in range(3) for x in ("s", "h0", "h1", "h2") if x != f"h{i}"]
+    pairs = pairs if direction == "forward" else [(b, a) for a, b in pairs]
+    names = list(dict.fromkeys(x for p in pairs for x in p))
+    events = spark.createDataFrame([(x, o, False, False) for o, x in enumerate(names)], "event_id string, node_ord long, is_condition boolean, is_effect boolean")
+    seeds = spark.createDataFrame([(1, 1, "s", 0.5)], "question_id long, seed_rank int, event_id string, score double")
+    edges = _edges(spark, pairs)
+    every, cut = R.neighbours(edges, events, direction, 3, 1000), R.neighbours(edges, events, direction, 3, 5)
+    assert every.count() == len(pairs)
+    assert cut.groupBy("_near").count().agg({"count": "max"}).first()[0] == 8
+    paths = lambda step: [tuple(r.nodes) for r in R.bounded_paths(seeds, edges, events, direction, 3, 5, step).orderBy("bfs_rank").collect()]
+    assert paths(cut) == paths(every)
+
+
 def test_arguments():
     with pytest.raises(ValueError):
         C.check_arguments(keep=0.2, reject=0.5)
