@@ -537,6 +537,82 @@ def test_changed_passages_behind_fragments(spark, fragment):
     assert found <= want | {(5000 + k, 2000 + k) for k in range(50)}
 
 
+def test_passages_of_groups_without_cap(spark, monkeypatch):
+    """Links are found whatever earlier documents hold the same words, in groups of any size and however these are dealt."""
+    rnd = random.Random(31)
+    rows, want = [], set()
+    for k in range(30):  # both halves of each passage are in earlier documents, which are close to nothing
+        passage = prose(rnd, 60, 5000).split()
+        rows += [(1000 * e + k, f"{prose(rnd, 70, 5000)} {' '.join(part)} {prose(rnd, 70, 5000)}") for e, part in enumerate((passage[:40], passage[20:]))]
+        changed = list(passage)
+        changed[rnd.choice([1, 2, 57, 58])] = "changed"
+        rows += [(i, f"{prose(rnd, 50, 5000)} {' '.join(x)} {prose(rnd, 50, 5000)}") for i, x in ((2000 + k, passage), (5000 + k, changed))]
+        want.add((5000 + k, 2000 + k))
+    line = prose(rnd, 30, 5000)
+    rows += [(10000 + k, f"{prose(rnd, 40, 5000)} {line} {prose(rnd, 40, 5000)}") for k in range(300)]
+    for k in range(20):  # a passage around the line, with a word put in
+        before, after = prose(rnd, 15, 5000), prose(rnd, 15, 5000).split()
+        rows += [(11000 + 10 * k + c, f"{prose(rnd, 30, 5000)} {before} {line} {' '.join(x)} {prose(rnd, 30, 5000)}") for c, x in enumerate((after, after[:11] + ["more"] + after[11:]))]
+        want.add((11001 + 10 * k, 11000 + 10 * k))
+    base = prose(rnd, 70, 5000).split()  # near copies: each is linked to an earlier one
+    near = []
+    for k in range(60):
+        x = list(base)
+        x[rnd.randrange(70)] = f"new{k}"
+        near.append(20000 + k)
+        rows.append((20000 + k, " ".join(x)))
+    got = []
+    for parts, chunk in ((1, passage_dedup.CHUNK), (5, 64)):
+        monkeypatch.setattr(passage_dedup, "CHUNK", chunk)
+        df = spark.createDataFrame(spark.sparkContext.parallelize(rnd.sample(rows, len(rows)), parts), "doc_id long, text string")
+        got.append({(r.doc_id, r.source_doc_id) for r in passage_dedup.repeated_passages(df).collect()})
+    for found in got:
+        assert want <= found, want - found
+        pairs = [(a, b) for b, a in found if b >= 20000]
+        label = {i: i for i in near}
+        for a, b in sorted(pairs, key=lambda p: (p[1], p[0])):
+            old, to = label[b], label[a]
+            label = {i: to if c == old else c for i, c in label.items()}
+        assert set(label.values()) == {20000}
+        assert {b for _, b in pairs} == set(near[1:])
+        assert all(b >= 20000 and a >= 20000 for b, a in found - want)
+
+
+def test_runs_of_one_word(spark):
+    """Texts that repeat one word are linked whatever the lengths of the runs."""
+    rnd = random.Random(6)
+    rows = [(k, f"{prose(rnd, 60, 5000)} {'spam ' * n} {prose(rnd, 60, 5000)}") for k, n in enumerate((120, 60, 200, 400))]
+    got = passage_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {1, 2, 3}
+
+
+def test_forest_equals_brute_force():
+    """Components by blocks are those of all pairs, with and without sides; words put in or left out are no obstacle."""
+    rng = np.random.default_rng(5)
+    base, rows = rng.integers(0, 1 << 16, (5, 140)), []
+    for k in range(600):
+        y = list(base[k % 5]) if k % 3 else list(rng.integers(0, 1 << 16, 140))
+        y[55:80] = base[0][55:80]  # everyone shares 25 tokens
+        if k % 3 == 1:
+            at = rng.integers(30, 100)
+            y[at : at + 5 * rng.integers(0, 4)] = rng.integers(0, 1 << 16, rng.integers(0, 10)).tolist()
+        at = y.index(base[0][66]) if base[0][66] in y else 66
+        part = y[max(at - 45, 0) : at + 46]
+        rows.append([-1] * max(0, 45 - at) + part + [-1] * (91 - len(part) - max(0, 45 - at)))
+    x, ids, side = np.array(rows, np.int32), np.arange(600) // 2, np.arange(600) % 2
+    for s in (None, side):
+        v, u = np.nonzero((ids[:, None] > ids[None, :]) & ((s is None) | (side[:, None] != side[None, :])))
+        on = passage_dedup._linked(x, u, v, 0.8)
+        links = passage_dedup._forest(x, ids, s, 0.8)
+        label = [np.arange(600), np.arange(600)]
+        for n, edges in enumerate((links, zip(u[on], v[on]))):
+            for a, b in edges:
+                label[n][label[n] == label[n][max(a, b)]] = label[n][min(a, b)]
+        same = [x[:, None] == x[None, :] for x in label]
+        assert (same[0] == same[1]).all() and 5 < len(set(label[0])) < 500
+        assert set(links) <= set(zip(u[on].tolist(), v[on].tolist()))
+
+
 def test_passage_twice_in_one_document(spark):
     """Both places are whole, wherever the earlier copy lies."""
     rnd = random.Random(10)
