@@ -613,6 +613,28 @@ def test_forest_equals_brute_force():
         assert set(links) <= set(zip(u[on].tolist(), v[on].tolist()))
 
 
+def test_forest_leaves_out_what_cannot_be_linked(monkeypatch):
+    """Runs of one word that are too short for a passage and share nothing else are not tested pair by pair; longer ones are linked."""
+    rng, tested, real = np.random.default_rng(7), [0], passage_dedup._has_passage
+
+    def counted(found, share):
+        tested[0] += len(found)
+        return real(found, share)
+
+    monkeypatch.setattr(passage_dedup, "_has_passage", counted)
+    for run, links in ((43, 0), (60, 399)):
+        x = np.empty((400, 91), np.int32)
+        for k, row in enumerate(x):
+            at = int(rng.integers(max(0, 46 - run), 32 if run > 46 else 45))
+            row[:] = 9
+            row[:at], row[at + run :] = 100 + 2 * k, 101 + 2 * k
+        tested[0] = 0
+        found = passage_dedup._forest(x, np.arange(400), None, 0.8)
+        assert len(found) == links and tested[0] < 20 * 400, (run, len(found), tested)
+        u, v = np.triu_indices(60, 1)
+        assert passage_dedup._linked(x, u, v, 0.8).all() == bool(links)
+
+
 def test_passage_twice_in_one_document(spark):
     """Both places are whole, wherever the earlier copy lies."""
     rnd = random.Random(10)
