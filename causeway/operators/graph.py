@@ -69,7 +69,9 @@ def event_nodes(rules: DataFrame) -> DataFrame:
 
 def event_facts(rules: DataFrame) -> DataFrame:
     """What path search needs of events: event_id, node_ord, is_condition, is_effect; counts only, no lists."""
-    return occurrences(rules).groupBy("event_id").agg(F.min("ord").alias("node_ord"), (F.count_if(F.col("role") == "CONDITION") > 0).alias("is_condition"), (F.count_if(F.col("role") == "EFFECT") > 0).alias("is_effect"))
+    side = lambda role, k: F.struct(F.col(role).alias("event_id"), (F.col("row_pos") * 2 + k).alias("ord"), F.lit(k).alias("k"))
+    o = rules.select(F.explode(F.array(side("condition_event", 0), side("effect_event", 1))).alias("s")).select("s.*")
+    return o.groupBy("event_id").agg(F.min("ord").alias("node_ord"), (F.count_if(F.col("k") == 0) > 0).alias("is_condition"), (F.count_if(F.col("k") == 1) > 0).alias("is_effect"))
 
 
 def subject_nodes(rules: DataFrame) -> DataFrame:
