@@ -172,18 +172,28 @@ def sorted_chains(chains: DataFrame) -> DataFrame:
 
 
 def weak_components(events: DataFrame, edges: DataFrame) -> DataFrame:
-    """(event_id, component): components are named by their smallest event; events without edges are their own."""
-    both = stage(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct(), "wcc-links")
-    labels = stage(events.select("event_id", F.col("event_id").alias("component")), "wcc-0")
+    """(event_id, component): components are named by their smallest event; events without edges are their own.
+
+    In each round every node goes to its smallest neighbour, or stays if it is smaller, and these ways are followed to their ends. Only
+    edges between different ends are left for the next round, each once, so rounds get shorter fast.
+    """
+    left = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b")
+    out = events.select("event_id", F.col("event_id").alias("component"))
     while True:
-        near = both.join(labels.withColumnRenamed("event_id", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        hooked = labels.join(near, F.col("event_id") == F.col("a"), "left").select("event_id", F.least("component", F.coalesce("m", "component")).alias("to"), F.col("component").alias("was"))
-        hooked = stage(hooked, "wcc-hooked")
-        over = hooked.select(F.col("event_id").alias("to"), F.col("to").alias("component"))
-        jumped = stage(hooked.join(over, "to").select("event_id", "component", "was"), "wcc")
-        labels = jumped.drop("was")
-        if not jumped.where("component <> was").limit(1).count():
-            return labels
+        both = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*")
+        ends = stage(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("b")), "wcc-hooked")
+        if not ends.limit(1).count():
+            return out
+        while True:
+            over = ends.select(F.col("a").alias("b"), F.col("b").alias("c"))
+            jumped = stage(ends.join(over, "b").select("a", F.col("c").alias("b"), (F.col("b") != F.col("c")).alias("moved")), "wcc-jumped")
+            ends = jumped.drop("moved")
+            if not jumped.where("moved").limit(1).count():
+                break
+        to = lambda c: ends.select(F.col("a").alias(c), F.col("b").alias(f"_{c}"))
+        left = left.join(to("a"), "a").join(to("b"), "b").where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
+        left = stage(left, "wcc-left")
+        out = stage(out.join(ends.select(F.col("a").alias("component"), F.col("b").alias("_to")), "component", "left").select("event_id", F.coalesce("_to", "component").alias("component")), "wcc")
 
 
 def cyclic_core(edges: DataFrame) -> DataFrame:
